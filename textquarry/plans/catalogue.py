@@ -1,4 +1,6 @@
-"""Every query of the library proper, with the SQL that says the same."""
+"""Every query of the library proper, with the SQL that says the same where SQL can."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import evaluation, retrieval
+
+QUERIES = retrieval.QUERIES | evaluation.QUERIES
+SQL = retrieval.SQL | evaluation.SQL
