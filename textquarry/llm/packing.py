@@ -20,6 +20,7 @@ table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import deque
 
@@ -31,10 +32,14 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-WINDOW, END_ID, BLOCK, WORDS_KEPT = 4096, 2, 1 << 20, 400_000
+WINDOW, END_ID, BLOCK, WORDS_KEPT = 4096, 2, 1 << 20, 800_000
 SENTENCE_PENALTY, HARD_PENALTY, HARD_STEP = 4, 48, 96
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _CLOSING = "\"')]}»”’"
+_STOPS = frozenset(".!?…。！？")
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+_TOGETHER = 500
+_BEYOND = re.compile("[^\x00-\u02ff]")
 
 
 class WordTokenizer:
@@ -44,7 +49,10 @@ class WordTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kept = Tokenizer.from_file(path), kept
+        tokenizer = Tokenizer.from_file(path)
+        self.encode_batch, self.kept = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch), kept
+        self.closes = np.zeros(1 + max(tokenizer.get_vocab().values()), bool)
+        self.closes[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self):
@@ -52,32 +60,68 @@ class WordTokenizer:
         self.ids, self.used, self.words = np.zeros(1 << 16, np.uint32), 0, 0
         self.at, self.size, self.ends = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, bool)
 
-    def _learn(self, words: list[str]):
-        for word, got in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False)):
-            ids, k = got.ids, self.words
-            if k == len(self.at):
-                self.at, self.size, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.ends))
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.at[k], self.size[k] = self.used, len(ids)
-            self.ends[k] = word.rstrip(_CLOSING)[-1:] in (".", "!", "?", "…", "。", "！", "？") if word else False
-            self.number[word], self.used, self.words = k, self.used + len(ids), k + 1
+    def _store(self, words: list[str], ids: np.ndarray, sizes: np.ndarray):
+        k, n, used = self.words, len(words), self.used
+        while k + n > len(self.at):
+            self.at, self.size, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.ends))
+        while used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[used : used + len(ids)] = ids
+        self.at[k : k + n], self.size[k : k + n] = used + np.cumsum(sizes) - sizes, sizes
+        self.ends[k : k + n] = [w.rstrip(_CLOSING)[-1:] in _STOPS if w else False for w in words]
+        self.number.update(zip(words, range(k, k + n)))
+        self.words, self.used = k + n, used + len(ids)
+
+    def _gathered(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of stored words one after another, and their sizes."""
+        sizes = self.size[k]
+        after = np.cumsum(sizes)
+        return self.ids[np.repeat(self.at[k] - after + sizes, sizes) + np.arange(after[-1] if len(k) else 0)], sizes
+
+    def _learn(self, words: set[str]):
+        """Words of letters go to the tokenizer many at a time: each ends with an id that closes a word.
+
+        Letters with ASCII marks behind them are their letters' ids and then the marks' ids.
+        """
+        joined, plain = [], set()
+        for word in words:
+            core = word.rstrip(_MARKS)
+            if core != word and core.isalpha():
+                joined.append((word, core, word[len(core) :]))
+                plain.update((core, word[len(core) :]))
+            else:
+                plain.add(word)
+        fresh = plain.difference(self.number)
+        letters = [w for w in fresh if w.isalpha()]
+        groups = [letters[i : i + _TOGETHER] for i in range(0, len(letters), _TOGETHER)]
+        alone = [w for w in fresh if not w.isalpha()]
+        for group, got in zip(groups, self.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(got.ids, np.uint32)
+            sizes = np.diff(np.flatnonzero(self.closes[ids]), prepend=-1)
+            if len(sizes) == len(group):
+                self._store(group, ids, sizes)
+            else:  # some letters are composed of several
+                alone += group
+        apart = [got.ids for got in self.encode_batch(alone, add_special_tokens=False)]
+        self._store(alone, np.array([i for ids in apart for i in ids], np.uint32), np.array([len(ids) for ids in apart], np.int64))
+        pieces = np.array([self.number[x] for _, core, marks in joined for x in (core, marks)], np.int64)
+        ids, sizes = self._gathered(pieces)
+        self._store([w for w, _, _ in joined], ids, sizes.reshape(-1, 2).sum(axis=1))
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """A text's ids and the places after which a sentence ends."""
+        if not _BEYOND.search(text):  # below U+0300 nothing combines, so lower case can come before composition
+            text = text.lower()
         words = text.replace("\n", " ").split(" ")
         fresh = set(words).difference(self.number)
         if fresh:
-            if self.words + len(fresh) > self.kept:
+            if self.words + 2 * len(fresh) > self.kept:
                 self._clear()
                 fresh = set(words)
-            self._learn(list(fresh))
-        k = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        sizes = self.size[k]
-        after = np.cumsum(sizes)
-        ids = self.ids[np.repeat(self.at[k] - after + sizes, sizes) + np.arange(after[-1])]
-        return ids, after[self.ends[k]]
+            self._learn(fresh)
+        k = np.array(list(map(self.number.__getitem__, words)), np.int64)
+        ids, sizes = self._gathered(k)
+        return ids, np.cumsum(sizes)[self.ends[k]]
 
 
 def best_cuts(places: list[int], penalties: list[float], window: int) -> list[int]:
