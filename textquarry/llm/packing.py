@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-WINDOW, END_ID, BLOCK, WORDS_KEPT = 4096, 2, 1 << 20, 800_000
+WINDOW, END_ID, BLOCK, WORDS_KEPT, TEXT_AT_ONCE = 4096, 2, 1 << 20, 800_000, 1 << 20
 SENTENCE_PENALTY, HARD_PENALTY, HARD_STEP = 4, 48, 96
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _CLOSING = "\"')]}»”’"
@@ -108,20 +108,48 @@ class WordTokenizer:
         ids, sizes = self._gathered(pieces)
         self._store([w for w, _, _ in joined], ids, sizes.reshape(-1, 2).sum(axis=1))
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """A text's ids and the places after which a sentence ends."""
-        if not _BEYOND.search(text):  # below U+0300 nothing combines, so lower case can come before composition
-            text = text.lower()
-        words = text.replace("\n", " ").split(" ")
-        fresh = set(words).difference(self.number)
+    def encode_all(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Each text's ids and the places after which a sentence ends; new words of all texts are learned at once."""
+        # below U+0300 nothing combines, so lower case can come before composition
+        words = [(t if _BEYOND.search(t) else t.lower()).replace("\n", " ").split(" ") for t in texts]
+        known = [list(map(self.number.get, some)) for some in words]
+        fresh = {w for some, k in zip(words, known) if None in k for w, i in zip(some, k) if i is None}
         if fresh:
-            if self.words + 2 * len(fresh) > self.kept:
+            cleared = self.words + 2 * len(fresh) > self.kept
+            if cleared:
                 self._clear()
-                fresh = set(words)
+                fresh = set().union(*words)
             self._learn(fresh)
-        k = np.array(list(map(self.number.__getitem__, words)), np.int64)
-        ids, sizes = self._gathered(k)
-        return ids, np.cumsum(sizes)[self.ends[k]]
+            known = [list(map(self.number.get, some)) if cleared or None in k else k for some, k in zip(words, known)]
+        out = []
+        for some in known:
+            k = np.array(some, np.int64)
+            sizes = self.size[k]
+            after = np.cumsum(sizes)
+            shift = np.repeat((self.at[k] - after + sizes).astype(np.int32), sizes)
+            shift += np.arange(len(shift), dtype=np.int32)
+            out.append((self.ids[shift], after[self.ends[k]]))
+        return out
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        return self.encode_all([text])[0]
+
+
+def _encoded(tokenizer: WordTokenizer, pdf: pd.DataFrame):
+    """(doc_id, ids, sentence ends) of a batch's rows, in order, learning TEXT_AT_ONCE characters at a time."""
+    some, chars = [], 0
+
+    def done():
+        coded = iter(tokenizer.encode_all([t for _, t in some if t]))
+        return [(i, *(next(coded) if t else (np.zeros(0, np.uint32), np.zeros(0, np.int64)))) for i, t in some]
+
+    for doc_id, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"]):
+        some.append((doc_id, text))
+        chars += len(text or "")
+        if chars >= TEXT_AT_ONCE:
+            yield from done()
+            some, chars = [], 0
+    yield from done()
 
 
 def best_cuts(places: list[int], penalties: list[float], window: int) -> list[int]:
@@ -200,8 +228,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
 
         for pdf in batches:
             out: list = []
-            for doc_id, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"]):
-                ids, ends = tokenizer.encode(text) if text else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+            for doc_id, ids, ends in _encoded(tokenizer, pdf):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4", copy=False)
                 held.append((None if doc_id is pd.NA else int(doc_id), ids, 0, ends))
                 tokens += len(ids)
