@@ -7,9 +7,10 @@ blocks: after each block a hypothesis test compares the partial distance, scaled
 with the query's current 20th best, and candidates that can hardly be nearer are abandoned. Survivors
 are scored exactly, in double precision on the original vectors.
 
-A list is stored in blocks of at most BLOCK vectors, and the queries that probe it are dealt in groups
-of at most QUERIES, so that a vector that fills a third of the table is many small tasks. Each task
-returns at most 20 rows for each of its queries.
+Lists are scanned in tiles: a tile holds several small lists, or a block of a large one, TILE vectors at
+most, so that a vector that fills a third of the table is many tasks. The queries that probe a tile come
+in groups of at most about QUERIES. A task returns at most 20 rows for each of its queries, the merged
+best of all probed lists of its tile; a query's number of tiles doesn't grow before TILES_LEAST tiles are full.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no
 part, as queries or candidates, nor do those whose length isn't the most frequent one (ties: the
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, inline_rows, table
 
 NEAREST, QUERY_EVERY = 20, 20
 #: Rows that the centroids are fitted on, at most about.
@@ -33,7 +34,9 @@ SAMPLE_MOST = 8192
 LISTS_LEAST, LISTS_MOST, ROWS_PER_LIST = 8, 1024, 800
 #: Share of the lists that a query probes, and the least number.
 PROBED, PROBES_LEAST = 0.75, 8
-BLOCK, QUERIES, COLUMNS = 4096, 1024, 16
+TILE, TILES_LEAST, QUERIES, COLUMNS = 16384, 16, 4096, 16
+#: Candidates and queries that are compared at once.
+CHUNK, AT_ONCE = 2048, 128
 #: The hypothesis test's width: a larger one abandons less.
 EPSILON = 2.1
 SEED = 7
@@ -82,38 +85,67 @@ def _matrix(col: pd.Series) -> np.ndarray:
     return np.array(col.tolist(), dtype=np.float64)
 
 
-def scan(index: Index, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, nearest: int = NEAREST) -> pd.DataFrame:
-    """Each query's nearest of a block of vectors, by the adaptive dimension scan."""
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
+def _ranked(query: np.ndarray, distance: np.ndarray, at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of pairs by query, distance and id, and each one's rank (from 0) in its query."""
+    order = np.lexsort((ids[at], distance, query))
+    return order, np.arange(len(order)) - np.searchsorted(query[order], query[order])
+
+
+def scan(index: Index, ids: np.ndarray, x: np.ndarray, lists: np.ndarray, query_ids: np.ndarray, q: np.ndarray, probed: np.ndarray, nearest: int = NEAREST) -> pd.DataFrame:
+    """Each query's nearest of a tile's vectors, by the adaptive dimension scan.
+
+    probed: a row for each query, a column for each list; a query meets its probed lists only.
+    """
+    order = np.lexsort((ids, lists))
+    ids, x, lists = ids[order], x[order], lists[order]
     rx, rq = index.rotated(x), index.rotated(q, query=True)
-    dims = rx.shape[1]
+    dims, slack = rx.shape[1], 1e-9 * (1 + index.top)
     ends = [*range(COLUMNS, dims, COLUMNS), dims]
+    # a few candidates are measured whole: they give the first bounds and may be results
     few = np.unique(np.linspace(0, len(ids) - 1, min(len(ids), 4 * nearest)).astype(int))
-    whole = lambda at: (rx[at] ** 2).sum(axis=1) - 2 * rq @ rx[at].T + (rq**2).sum(axis=1)[:, None]
-    first = np.where(ids[few][None, :] == query_ids[:, None], np.inf, whole(few))
-    # each query's bound: its 20th best of a few candidates
-    bounds = np.partition(first, nearest - 1, axis=1)[:, nearest - 1] if len(few) >= nearest else np.full(len(q), np.inf)
-    limit = lambda bound, b: (bound * (b / dims) * (1 + EPSILON / np.sqrt(b)) ** 2 if b < dims else bound) + 1e-9 * (1 + index.top)
-    out: list[tuple] = []
-    for at in range(0, len(q), 256):  # the first block of columns for all candidates at once
-        some = slice(at, at + 256)
-        c = slice(0, ends[0])
-        parts = (rx[:, c] ** 2).sum(axis=1) - 2 * rq[some, c] @ rx[:, c].T + (rq[some, c] ** 2).sum(axis=1)[:, None]
-        stays = (parts <= limit(bounds[some], ends[0])[:, None]) & (ids[None, :] != query_ids[some, None])
-        for i, (row, stay) in enumerate(zip(parts, stays), at):
-            open_ = np.flatnonzero(stay)
-            part = row[open_]
-            for a, b in zip(ends, ends[1:]):  # the others for those that are still open
-                part = part + ((rx[open_, a:b] - rq[i, a:b]) ** 2).sum(axis=1)
-                keep = part <= limit(bounds[i], b)
-                open_, part = open_[keep], part[keep]
-            if len(open_) > nearest:  # equal distances stay together: the ids decide
-                open_ = open_[part <= np.partition(part, nearest - 1)[nearest - 1] + 1e-9 * (1 + index.top)]
-            score = (x[open_] * q[i]).sum(axis=1)
-            best = np.lexsort((ids[open_], -score))[:nearest]
-            out.extend(zip([query_ids[i]] * len(best), ids[open_][best], score[best]))
-    return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+    others = np.setdiff1d(np.arange(len(ids)), few)
+    chunks = [few, *(others[i : i + CHUNK] for i in range(0, len(others), CHUNK))]
+    out = []
+    for start in range(0, len(q), AT_ONCE):
+        some = slice(start, start + AT_ONCE)
+        mq, mine = rq[some], query_ids[some]
+        bounds = np.full(len(mq), np.inf)
+        query, distance, at = np.zeros(0, int), np.zeros(0), np.zeros(0, int)
+        for chunk in chunks:
+            limit = lambda b: (bounds * (b / dims) * (1 + EPSILON / np.sqrt(b)) ** 2 if b < dims else bounds) + slack  # noqa: E731, B023
+            c, first = rx[chunk], slice(0, ends[0])
+            part = (c[:, first] ** 2).sum(axis=1) - 2 * mq[:, first] @ c[:, first].T + (mq[:, first] ** 2).sum(axis=1)[:, None]
+            stays = (part <= limit(ends[0])[:, None]) & probed[some][:, lists[chunk]] & (ids[chunk][None, :] != mine[:, None])
+            i, j = np.nonzero(stays)
+            part = part[i, j]
+            for a, b in zip(ends, ends[1:]):  # the other columns for the pairs that are still open
+                part = part + ((c[j, a:b] - mq[i, a:b]) ** 2).sum(axis=1)
+                keep = part <= limit(b)[i]
+                i, j, part = i[keep], j[keep], part[keep]
+            query, distance, at = np.r_[query, i], np.r_[distance, part], np.r_[at, chunk[j]]
+            order, rank = _ranked(query, distance, at, ids)
+            last = order[rank == nearest - 1]
+            bounds[query[last]] = distance[last]
+            keep = distance <= bounds[query] + slack  # equal distances stay together: the ids decide
+            query, distance, at = query[keep], distance[keep], at[keep]
+        order, rank = _ranked(query, -(x[at] * q[some][query]).sum(axis=1), at, ids)
+        query, at = query[order][rank < nearest], at[order][rank < nearest]
+        out.append(pd.DataFrame({"query_id": mine[query], "vec_id": ids[at], "score": (x[at] * q[some][query]).sum(axis=1)}))
+    return pd.concat(out)
+
+
+def tiles(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each list's first tile and its number of tiles: small neighbours share a tile, large lists have several."""
+    most = min(TILE, -(-int(sizes.sum()) // TILES_LEAST))
+    first, blocks, tile, full = np.zeros(len(sizes), np.int32), np.ones(len(sizes), np.int32), 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if full and full + n > most:
+            tile, full = tile + 1, 0
+        first[i], blocks[i] = tile, max(1, -(-n // most))
+        full += n
+        if blocks[i] > 1:
+            tile, full = tile + int(blocks[i]), 0
+    return first, blocks
 
 
 def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = QUERY_EVERY, nearest: int = NEAREST) -> DataFrame:
@@ -134,29 +166,41 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
             if len(pdf):
                 yield pdf.assign(list=index.distances(index.rotated(_matrix(pdf["v"]))).argmin(axis=1).astype(np.int32))
 
-    def probe(batches):
+    listed = durable(rows.mapInPandas(assign, "vec_id long, v array<double>, list int"))
+    sizes = np.zeros(len(index.centers), np.int64)
+    for r in listed.groupBy("list").count().collect():  # LISTS_MOST rows at most
+        sizes[r["list"]] = r["count"]
+    first, blocks = tiles(sizes)
+
+    def probes(v: pd.Series) -> np.ndarray:
+        """A row for each query, true at its nearest lists: the fixed number, or more until they hold enough vectors."""
+        order = np.argsort(index.distances(index.rotated(_matrix(v), query=True)), axis=1, kind="stable")
+        held = np.cumsum(sizes[order], axis=1) - sizes[order]
+        out = np.zeros(order.shape, bool)
+        np.put_along_axis(out, order, (np.arange(order.shape[1]) < index.probes) | (held < 4 * nearest), axis=1)
+        return out
+
+    def meet(batches):
         for pdf in batches:
             if len(pdf):
-                order = np.argsort(index.distances(index.rotated(_matrix(pdf["v"]), query=True)), axis=1, kind="stable")[:, : index.probes]
-                yield pdf.assign(lists=list(order.astype(np.int32)))
+                yield pdf.assign(tiles=[np.unique(np.concatenate([np.arange(first[i], first[i] + blocks[i]) for i in np.flatnonzero(row & (sizes > 0))])) for row in probes(pdf["v"])])
 
-    listed = durable(rows.mapInPandas(assign, "vec_id long, v array<double>, list int"))
-    queries = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    probing = durable(queries.mapInPandas(probe, "vec_id long, v array<double>, lists array<int>").withColumn("list", F.explode("lists")).drop("lists"))
-    parts = lambda df, name, most: df.groupBy("list").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    queries = durable(rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]))
+    groups = max(1, -(-queries.count() // QUERIES))
+    share = lambda salt, of: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), of).cast("int")
     # one row per list, of which there are LISTS_MOST at most
-    sizes = F.broadcast(durable(parts(listed, "blocks", BLOCK).join(parts(probing, "groups", QUERIES), "list")))
-    share = lambda salt, of: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.col(of)).cast("int")
-    stored = listed.join(sizes, "list").withColumn("block", share("b", "blocks")).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    asking = probing.join(sizes, "list").withColumn("group", share("g", "groups")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    places = F.broadcast(inline_rows(rows.sparkSession, [{"list": i, "first": int(first[i]), "blocks": int(blocks[i])} for i in range(len(sizes))], "list int, first int, blocks int"))
+    stored = listed.join(places, "list").withColumn("tile", F.col("first") + share("b", F.col("blocks")))
+    stored = stored.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))) if groups > 1 else stored.withColumn("group", F.lit(0))
+    asking = queries.mapInPandas(meet, "vec_id long, v array<double>, tiles array<int>").withColumn("tile", F.explode("tiles")).withColumn("group", share("g", F.lit(groups)))
 
     def found(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        return scan(index, left["vec_id"].to_numpy(), _matrix(left["v"]), right["vec_id"].to_numpy(), _matrix(right["v"]), nearest)
+        return scan(index, left["vec_id"].to_numpy(), _matrix(left["v"]), left["list"].to_numpy(), right["vec_id"].to_numpy(), _matrix(right["v"]), probes(right["v"]), nearest)
 
-    at = ["list", "block", "group"]
-    hits = stored.select(*at, "vec_id", "v").groupBy(*at).cogroup(asking.select(*at, "vec_id", "v").groupBy(*at)).applyInPandas(found, "query_id long, vec_id long, score double")
+    at = ["tile", "group"]
+    hits = stored.select(*at, "vec_id", "v", "list").groupBy(*at).cogroup(asking.select(*at, "vec_id", "v").groupBy(*at)).applyInPandas(found, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).filter(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")
 
