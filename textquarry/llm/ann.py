@@ -36,7 +36,7 @@ LISTS_LEAST, LISTS_MOST, ROWS_PER_LIST = 8, 1024, 800
 PROBED, PROBES_LEAST = 0.75, 8
 TILE, TILES_LEAST, QUERIES, COLUMNS = 16384, 16, 4096, 16
 #: Candidates and queries that are compared at once.
-CHUNK, AT_ONCE = 2048, 128
+CHUNK, AT_ONCE = 512, 128
 #: The hypothesis test's width: a larger one abandons less.
 EPSILON = 2.1
 SEED = 7
