@@ -245,6 +245,56 @@ def test_nearest(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def _nearest_by_force(ids, x, q):
+    s = (x * x[q]).sum(axis=1)
+    return [(int(ids[i]), s[i]) for i in np.lexsort((ids, -s)) if ids[i] != ids[q]][:20]
+
+
+def test_nearest_in_many_tiles_and_query_groups(spark, monkeypatch):
+    """One vector fills a third of the table and one id repeats; tiles and groups are far smaller than usual."""
+    monkeypatch.setattr(ann, "TILE", 40)
+    monkeypatch.setattr(ann, "QUERIES", 7)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, 12))
+    x[::3] = x[0]
+    ids = np.arange(600)
+    ids[1:5] = 1
+    df = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = ann.search(df).collect()
+    hits, queries = 0, [i for i in range(600) if ids[i] % 20 == 0]
+    for q in queries:
+        mine = [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == ids[q]), key=lambda r: r.rank)]
+        want = _nearest_by_force(ids, x, q)
+        assert len(mine) == 20 and mine == sorted(mine, key=lambda r: (-r[1], r[0]))
+        if q % 3 == 0 and want[0][1] == want[-1][1]:  # all ties: the smallest ids
+            assert [r[0] for r in mine] == [r[0] for r in want]
+        hits += len({r[0] for r in mine} & {r[0] for r in want})
+    assert hits >= 0.9 * 20 * len(queries) and len(got) == 20 * len(queries)
+
+
+def test_tiles_hold_small_lists_and_split_large_ones(monkeypatch):
+    monkeypatch.setattr(ann, "TILES_LEAST", 4)
+    first, blocks = ann.tiles(np.array([5, 0, 10, 100, 20, 25]))
+    assert first.tolist() == [0, 0, 0, 1, 4, 5] and blocks.tolist() == [1, 1, 1, 3, 1, 1]
+
+
+@pytest.mark.parametrize("chunk", [7, 512])
+def test_scan_without_abandoning_is_exact(monkeypatch, chunk):
+    monkeypatch.setattr(ann, "EPSILON", 1e9)
+    monkeypatch.setattr(ann, "CHUNK", chunk)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 40))
+    x[50:150] = x[50]
+    ids = rng.permutation(300)
+    index = ann.Index(x, float((x**2).sum(axis=1).max()), len(x))
+    lists = index.distances(index.rotated(x)).argmin(axis=1)
+    at = np.arange(0, 300, 10)
+    got = ann.scan(index, ids, x, lists, ids[at], x[at], np.ones((len(at), len(index.centers)), bool))
+    for q in at:
+        mine = got[got.query_id == ids[q]]
+        assert mine.vec_id.tolist() == [i for i, _ in _nearest_by_force(ids, x, q)]
+
+
 def test_licenses(docs, none):
     rows = licenses.scan(docs).collect()
     assert [(r.license, r.matched, r.first_word) for r in rows] == [("MIT", 1, 0)]
