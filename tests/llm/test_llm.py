@@ -301,6 +301,22 @@ def test_licenses(docs, none):
     assert licenses.scan(none).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_every_license_line_of_the_tables_has_a_template(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("text"))
+    found = lines.filter(F.lower("text").rlike(r"\blicen[cs]ed?\b")).distinct().collect()
+    lines = spark.createDataFrame([(i, r.text) for i, r in enumerate(found)], "doc_id long, text string")
+    matched = {r.doc_id for r in licenses.scan(lines).collect()}
+    assert found and [r.text for i, r in enumerate(found) if i not in matched] == []
+
+
+def test_short_creative_commons_lines_are_told_apart(spark):
+    kinds = ["BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND"]
+    lines = spark.createDataFrame([(i, f"words before\nLicensed under CC {k} 4.0.\nwords after") for i, k in enumerate(kinds)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.license) for r in licenses.scan(lines).collect()) == [(i, f"CC-{k}-4.0") for i, k in enumerate(kinds)]
+
+
 def test_chat(spark):
     calls = spark.createDataFrame(
         [("a", 1, "reply", '{"turn": 1, "question": "x"}', None), ("b", 2, "reply", '{"question": 3, "turn": 1, "zz": 0}', "a"), ("c", 3, "other", "{}", "c"), ("a", 9, "reply", "[1]", None), (None, 4, "reply", None, None), ("d", 5, "reply", '{"turn": 1}', "b")],
