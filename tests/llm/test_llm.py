@@ -335,6 +335,14 @@ def test_chat(spark):
     assert one.select(chat.canonical("j")).first()[0] == '{"a":{"c":[1,2],"z":null},"b":1}'
 
 
+def test_chat_follows_long_chains_and_proves_circles(spark):
+    pairs = [(f"c{i}", f"c{i - 1}" if i else None) for i in range(40)] + [("x", "y"), ("y", "z"), ("z", "x"), ("w", "x"), ("v", "gone")]
+    calls = spark.createDataFrame([(c, i, "reply", "{}", n) for i, (c, n) in enumerate(pairs)], "call_id string, turn long, tool string, arguments string, needs string")
+    made, _ = chat.linked(calls, spark.createDataFrame([], "call_id string, turn long, text string"))
+    want = {f"c{i}": i for i in range(40)} | {"x": None, "y": None, "z": None, "w": None, "v": 0}
+    assert {r.call_id: r.depth for r in made.collect()} == want
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -8,7 +8,7 @@ schema; each message is serialised as canonical JSON: keys in order, no white sp
 
 Rows stay rows: no conversation is gathered, so one that holds a third of all turns is spread like any
 other. A message's place is a key (place, kind, turn), not a running number. Chains of calls are
-followed by joins, one per link, up to MAX_DEPTH; what is deeper or circular is reported, not placed.
+followed to their ends by pointer doubling, however long; what runs into a circle is reported, not placed.
 
 The plain conversations table has no tool calls. Its adapter reads each user turn as a call of the
 tool `reply` with arguments {"question", "turn"}, and an assistant turn as the result of the turn
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 
 from .common import durable, table
 
-MAX_DEPTH = 8
 #: name -> (JSON type, required, least, most): `least`/`most` bound a string's length or a number.
 REPLY = {"question": ("string", True, 1, 20_000), "turn": ("integer", True, 0, 10_000)}
 TOOLS = {"reply": REPLY}
@@ -63,7 +62,24 @@ def argument_errors(arguments: Column, tool: Column, tools: dict = TOOLS) -> Col
     return out.otherwise(F.array(F.lit("unknown tool")))
 
 
-def linked(calls: DataFrame, results: DataFrame, tools: dict = TOOLS, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
+def _chains(calls: DataFrame) -> DataFrame:
+    """(call_id, depth) of calls (call_id, needs): the links to the chain's end, null where it runs into a circle.
+
+    Each round doubles the links followed. A chain that ends has a call whose end is reached in the next
+    round, so when a round reaches no end more, what is open is circular.
+    """
+    one = calls.groupBy("call_id").agg(F.min("needs").alias("needs"))
+    known = one.select(F.col("call_id").alias("up"))
+    now = durable(one.withColumnRenamed("needs", "_needs").join(known, F.col("_needs") == F.col("up"), "left").select("call_id", "up", F.col("up").isNotNull().cast("int").alias("depth")))
+    open_, before = now.filter("up IS NOT NULL").count(), None
+    while open_ and open_ != before:
+        on = now.select(F.col("call_id").alias("_id"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
+        now = durable(now.join(on, F.col("up") == F.col("_id"), "left").select("call_id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")))
+        open_, before = now.filter("up IS NOT NULL").count(), open_
+    return now.select("call_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
+
+
+def linked(calls: DataFrame, results: DataFrame, tools: dict = TOOLS) -> tuple[DataFrame, DataFrame]:
     """Calls (call_id, turn, tool, arguments, needs) with errors, depth and whether they are answered; results with their call.
 
     `needs` is the identifier of the call whose result this call uses, or null.
@@ -73,13 +89,7 @@ def linked(calls: DataFrame, results: DataFrame, tools: dict = TOOLS, max_depth:
     keyed = calls.join(first, "call_id", "left").withColumn("repeated", F.col("call_id").isNotNull() & (order != F.col("_first"))).drop("_first")
     depth = keyed.filter("call_id IS NOT NULL AND NOT repeated").select("call_id", "needs", F.lit(0).alias("depth"))
     if calls.filter("needs IS NOT NULL").limit(1).count():
-        step = durable(depth)
-        own = step.select("call_id", F.col("needs").alias("first_needs"), F.lit(0).alias("depth"), F.col("needs").alias("up"))
-        up = step.select(F.col("call_id").alias("_id"), F.col("needs").alias("_needs"))
-        for k in range(1, max_depth + 1):
-            on = own.join(up, own["up"] == up["_id"], "left")
-            own = durable(on.select("call_id", "first_needs", F.when(F.col("_id").isNotNull(), k).otherwise(F.col("depth")).alias("depth"), F.col("_needs").alias("up")))
-        depth = own.select("call_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
+        depth = _chains(depth.select("call_id", "needs"))
     answered = results.filter("call_id IS NOT NULL").select("call_id").distinct().withColumn("answered", F.lit(True))
     checked = keyed.join(depth.select("call_id", "depth"), "call_id", "left").join(answered, "call_id", "left")
     errors = F.concat(argument_errors(F.col("arguments"), F.col("tool"), tools), F.when(F.col("repeated"), F.array(F.lit("repeated identifier"))).otherwise(F.array().cast("array<string>")))
