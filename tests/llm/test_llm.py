@@ -343,6 +343,15 @@ def test_chat_follows_long_chains_and_proves_circles(spark):
     assert {r.call_id: r.depth for r in made.collect()} == want
 
 
+def test_chat_places_a_call_after_a_later_result_that_it_needs(spark):
+    calls = spark.createDataFrame([("a", 2, "reply", "{}", "b"), ("b", 5, "reply", "{}", None), ("c", 3, "reply", "{}", "a"), ("d", 9, "reply", "{}", "c"), ("e", 4, "reply", "{}", "e")], "call_id string, turn long, tool string, arguments string, needs string")
+    results = spark.createDataFrame([(c, t) for c, t in (("a", 3), ("b", 6), ("c", 4), ("d", 10), ("e", 5))], "call_id string, turn long")
+    made, answers = chat.linked(calls, results)
+    rows = [(r.place, r.depth, 0, r.turn, r.call_id) for r in made.collect()] + [(r.place, r.depth, 1, r.turn, r.call_id) for r in answers.collect()]
+    assert [(r[4], r[2]) for r in sorted(r for r in rows if r[0] is not None)] == [(c, k) for c in "bacd" for k in (0, 1)]
+    assert {r[4] for r in rows if r[0] is None} == {"e"}  # it needs itself
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

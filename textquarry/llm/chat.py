@@ -7,7 +7,8 @@ calls that need another call's result after that result); arguments are validate
 schema; each message is serialised as canonical JSON: keys in order, no white space, nulls left out.
 
 Rows stay rows: no conversation is gathered, so one that holds a third of all turns is spread like any
-other. A message's place is a key (place, kind, turn), not a running number. Chains of calls are
+other. A message's place is a key (place, depth, kind, turn), not a
+running number; place is the latest turn of a call and the calls that it depends on. Chains of calls are
 followed to their ends by pointer doubling, however long; what runs into a circle is reported, not placed.
 
 The plain conversations table has no tool calls. Its adapter reads each user turn as a call of the
@@ -63,39 +64,44 @@ def argument_errors(arguments: Column, tool: Column, tools: dict = TOOLS) -> Col
 
 
 def _chains(calls: DataFrame) -> DataFrame:
-    """(call_id, depth) of calls (call_id, needs): the links to the chain's end, null where it runs into a circle.
+    """(call_id, depth, place) of calls (call_id, turn, needs): the links to the chain's end and its latest turn, null where it runs into a circle.
 
     Each round doubles the links followed. A chain that ends has a call whose end is reached in the next
     round, so when a round reaches no end more, what is open is circular.
     """
-    one = calls.groupBy("call_id").agg(F.min("needs").alias("needs"))
+    one = calls.groupBy("call_id").agg(F.min("needs").alias("needs"), F.min("turn").alias("place"))
     known = one.select(F.col("call_id").alias("up"))
-    now = durable(one.withColumnRenamed("needs", "_needs").join(known, F.col("_needs") == F.col("up"), "left").select("call_id", "up", F.col("up").isNotNull().cast("int").alias("depth")))
+    now = durable(one.withColumnRenamed("needs", "_needs").join(known, F.col("_needs") == F.col("up"), "left").select("call_id", "up", F.col("up").isNotNull().cast("int").alias("depth"), "place"))
     open_, before = now.filter("up IS NOT NULL").count(), None
     while open_ and open_ != before:
-        on = now.select(F.col("call_id").alias("_id"), F.col("up").alias("_up"), F.col("depth").alias("_depth"))
-        now = durable(now.join(on, F.col("up") == F.col("_id"), "left").select("call_id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth")))
+        on = now.select(F.col("call_id").alias("_id"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("place").alias("_place"))
+        now = durable(now.join(on, F.col("up") == F.col("_id"), "left").select("call_id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), F.greatest("place", "_place").alias("place")))
         open_, before = now.filter("up IS NOT NULL").count(), open_
-    return now.select("call_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
+    ended = F.col("up").isNull()
+    return now.select("call_id", F.when(ended, F.col("depth")).alias("depth"), F.when(ended, F.col("place")).alias("place"))
 
 
 def linked(calls: DataFrame, results: DataFrame, tools: dict = TOOLS) -> tuple[DataFrame, DataFrame]:
-    """Calls (call_id, turn, tool, arguments, needs) with errors, depth and whether they are answered; results with their call.
+    """Calls (call_id, turn, tool, arguments, needs) with errors, depth, place and whether they are answered; results with their call's place and depth.
+
+    In the order (place, depth, kind, turn) a call comes after the result that it needs, even one of a later turn.
 
     `needs` is the identifier of the call whose result this call uses, or null.
     """
     order = F.struct("turn", "arguments")
     first = calls.groupBy("call_id").agg(F.min(order).alias("_first"))
     keyed = calls.join(first, "call_id", "left").withColumn("repeated", F.col("call_id").isNotNull() & (order != F.col("_first"))).drop("_first")
-    depth = keyed.filter("call_id IS NOT NULL AND NOT repeated").select("call_id", "needs", F.lit(0).alias("depth"))
+    ordered = keyed.filter("call_id IS NOT NULL AND NOT repeated").select("call_id", "turn", "needs")
     if calls.filter("needs IS NOT NULL").limit(1).count():
-        depth = _chains(depth.select("call_id", "needs"))
+        ordered = durable(_chains(ordered))
+    else:
+        ordered = ordered.select("call_id", F.lit(0).alias("depth"), F.col("turn").alias("place"))
     answered = results.filter("call_id IS NOT NULL").select("call_id").distinct().withColumn("answered", F.lit(True))
-    checked = keyed.join(depth.select("call_id", "depth"), "call_id", "left").join(answered, "call_id", "left")
+    checked = keyed.join(ordered.withColumnRenamed("place", "_place"), "call_id", "left").join(answered, "call_id", "left")
     errors = F.concat(argument_errors(F.col("arguments"), F.col("tool"), tools), F.when(F.col("repeated"), F.array(F.lit("repeated identifier"))).otherwise(F.array().cast("array<string>")))
     calls_out = checked.withColumn("errors", errors).withColumn("answered", F.coalesce("answered", F.lit(False)))
-    place = keyed.filter("NOT repeated").select("call_id", F.col("turn").alias("place"))
-    return calls_out, results.join(place, "call_id", "left")
+    own = F.when(F.col("repeated") | F.col("call_id").isNull(), F.col("turn")).otherwise(F.col("_place"))
+    return calls_out.withColumn("place", own).drop("_place"), results.join(ordered, "call_id", "left")
 
 
 def message_json(role: Column, content: Column, call_id: Column, tool: Column | None = None, arguments: Column | None = None) -> Column:
@@ -114,7 +120,7 @@ def op8_chat(spark, sf_dir) -> DataFrame:
     results = turns.filter("role = 'assistant'").select(named(F.col("turn") - 1).alias("call_id"), "conv_id", "turn", "role", "text")
     calls, results = linked(calls, results)
     none = F.lit(None).cast("string")
-    a = calls.select("conv_id", "turn", "role", "call_id", F.when(F.col("answered"), "linked").otherwise("open").alias("link"), F.col("turn").alias("place"), F.lit(0).alias("kind"), F.array_join("errors", "; ").alias("errors"), message_json(F.col("role"), none, F.col("call_id"), F.col("tool"), canonical("arguments")).alias("message"))
+    a = calls.select("conv_id", "turn", "role", "call_id", F.when(F.col("answered"), "linked").otherwise("open").alias("link"), F.coalesce("place", "turn").alias("place"), F.lit(0).alias("kind"), F.array_join("errors", "; ").alias("errors"), message_json(F.col("role"), none, F.col("call_id"), F.col("tool"), canonical("arguments")).alias("message"))
     b = results.select("conv_id", "turn", "role", "call_id", F.when(F.col("place").isNotNull(), "linked").otherwise("orphan").alias("link"), F.coalesce("place", "turn").alias("place"), F.lit(1).alias("kind"), F.lit("").alias("errors"), message_json(F.col("role"), F.col("text"), F.col("call_id")).alias("message"))
     c = turns.filter("role IS NULL OR role NOT IN ('user', 'assistant')").select("conv_id", "turn", "role", none.alias("call_id"), F.lit("none").alias("link"), F.col("turn").alias("place"), F.lit(0).alias("kind"), F.lit("").alias("errors"), message_json(F.col("role"), F.col("text"), none).alias("message"))
     return a.unionByName(b).unionByName(c)
