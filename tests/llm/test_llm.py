@@ -93,6 +93,16 @@ def test_simhash(docs, none):
     assert simhash.classes(none).count() == simhash.deduplicated(none).count() == 0
 
 
+def test_simhash_keeps_one_row_of_each_group_with_repeated_and_null_ids(spark):
+    one, two, three = ("ab cd ef gh", "red green blue sky", "stone river house walk")
+    rows = [(1, one), (2, one.upper()), (2, two), (None, three), (None, three.upper()), (None, two + " "), (7, one), (7, one), (None, None), (None, "")]
+    rows += [(9, "a single row twice"), (9, "a single row twice")]
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = [(r.doc_id, (r.text or "").lower().strip()) for r in kept.collect()]
+    want = [(1, one), (2, two), (9, "a single row twice"), (None, three), (None, "")]
+    assert kept.columns == ["doc_id", "text"] and sorted(got, key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("longest", [4096, 8])
 def test_simhash_lists_longer_than_a_task_takes(spark, longest):
     rng = random.Random(5)

@@ -12,8 +12,9 @@ the spanning stars of its own links, at most one row per entry, never all pairs.
 LONGEST are split: a pair with four shared bytes needs a fifth, so the list is posted again by each
 of the other four positions, and what is still longer is compared block by block in separate tasks.
 
-Defined results: null and wordless texts have fingerprint zero; rows of one doc_id share its fate only
-by their texts; an empty table gives an empty result; extra columns are ignored.
+Defined results: null and wordless texts have fingerprint zero; rows of one doc_id are judged each by
+its own text, rows without one like any other; an empty table gives an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -54,15 +55,17 @@ def fingerprint(text: str | None, words: int = SHINGLE, chunk: int = 1 << 16) ->
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp bigint): one narrow pass, no shuffle."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_col: str | None = None) -> DataFrame:
+    """(doc_id, fp bigint), and the digest if its column is named: one narrow pass, no shuffle."""
 
     def run(batches):
         for pdf in batches:
             fps = np.array([fingerprint(t) for t in pdf["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps})
+            yield pdf.drop(columns="text").assign(fp=fps)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    extra = [F.col(digest_col).alias("digest")] if digest_col else []
+    schema = "doc_id long, digest string, fp long" if digest_col else "doc_id long, fp long"
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *extra).mapInPandas(run, schema)
 
 
 def _byte(position: int):
@@ -175,22 +178,40 @@ def _open_byte(p):
     return F.element_at(F.array(*[_byte(q) for q in range(8)]), p + 1)
 
 
+def _rooted(rows: DataFrame, longest: int = LONGEST) -> DataFrame:
+    """(fp, least, root) for every distinct fingerprint; least: its smallest doc_id."""
+    distinct = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(durable(links(distinct, longest)))
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", longest: int = LONGEST) -> DataFrame:
     """(doc_id, fp, component_id) for every row."""
     rows = durable(fingerprints(docs, id_col, text_col))
-    distinct = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(durable(links(distinct, longest)))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(rows, longest)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = durable(rooted.join(named, "root").select("fp", "component_id"))
     return rows.join(of, "fp")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component stays: its smallest doc_id. Documents without a doc_id all stay."""
-    found = classes(docs, id_col, text_col)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_tq_id")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_tq_id"), "left_anti")
+    """One row of each component stays: its smallest doc_id (null last), then the smallest digest of the text.
+
+    Doc_id and digest are a row's key; rows that share a whole key are one text, of which one stays.
+    """
+    keyed = docs.withColumns({"_tq_id": F.col(id_col).cast("long"), "_tq_digest": F.md5(F.col(text_col))})
+    rows = durable(fingerprints(keyed, "_tq_id", text_col, "_tq_digest"))
+    rooted = durable(_rooted(rows).select("fp", "root"))
+    placed = durable(rows.join(rooted, "fp"))
+    stays = durable(placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("stays")))
+    is_kept = F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & F.col("digest").eqNullSafe(F.col("stays.digest"))
+    judged = durable(placed.join(stays, "root").select("doc_id", "digest", is_kept.alias("kept")))
+    gone = judged.filter("NOT kept").select("doc_id", "digest").distinct()
+    gone = gone.select(F.col("doc_id").alias("_tq_gone"), F.col("digest").alias("_tq_gone_digest"))
+    left = keyed.join(gone, F.col("_tq_id").eqNullSafe(F.col("_tq_gone")) & F.col("_tq_digest").eqNullSafe(F.col("_tq_gone_digest")), "left_anti")
+    if judged.filter("kept").groupBy("doc_id", "digest").count().filter("count > 1").limit(1).count():
+        left = left.dropDuplicates(["_tq_id", "_tq_digest"])
+    return left.select(*docs.columns)
 
 
 def op6_simhash(spark, sf_dir) -> DataFrame:
