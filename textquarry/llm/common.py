@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,13 +25,16 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a local one is made only where none is set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="textquarry-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
+_noted = threading.local()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, lost executors cost nothing.
 
@@ -37,10 +42,28 @@ def durable(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    for paths in getattr(_noted, "open", [])[-1:]:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def intermediates(spark: SparkSession):
+    """Deletes at its end what this thread made durable inside; a result must be written elsewhere before."""
+    _noted.open = [*getattr(_noted, "open", []), []]
+    try:
+        yield
+    finally:
+        for path in _noted.open.pop():
+            delete(spark, path)
+
+
 def inline_rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A bounded driver-made table as one JSON literal, so that no Python runs to scan it."""
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))

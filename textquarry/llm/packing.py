@@ -13,8 +13,9 @@ of a partition can be short. sequence_id holds the partition and the window's nu
 Words are tokenised once and remembered: white space always ends a token, so a text's ids are its
 words' ids one after another. The memory is cleared at WORDS_KEPT words.
 
-Defined results: a null or empty text is only the end token; repeated rows are packed each; an empty
-table gives an empty result; extra columns are ignored.
+Defined results: a null or empty text is only the end token; a null doc_id stays null and every other one
+is kept to the last digit; a text longer than a window is cut like any other; repeated rows are packed
+each; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import zlib
 from collections import deque
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,12 +82,13 @@ class WordTokenizer:
     def _learn(self, words: set[str]):
         """Words of letters go to the tokenizer many at a time: each ends with an id that closes a word.
 
-        Letters with ASCII marks behind them are their letters' ids and then the marks' ids.
+        Letters with ASCII marks behind them are their letters' ids and then the marks' ids, unless lower case
+        adds a mark of its own to a letter.
         """
         joined, plain = [], set()
         for word in words:
             core = word.rstrip(_MARKS)
-            if core != word and core.isalpha():
+            if core != word and core.isalpha() and len(core.lower()) == len(core):
                 joined.append((word, core, word[len(core) :]))
                 plain.update((core, word[len(core) :]))
             else:
@@ -135,7 +137,7 @@ class WordTokenizer:
         return self.encode_all([text])[0]
 
 
-def _encoded(tokenizer: WordTokenizer, pdf: pd.DataFrame):
+def _encoded(tokenizer: WordTokenizer, batch: pa.RecordBatch):
     """(doc_id, ids, sentence ends) of a batch's rows, in order, learning TEXT_AT_ONCE characters at a time."""
     some, chars = [], 0
 
@@ -143,7 +145,7 @@ def _encoded(tokenizer: WordTokenizer, pdf: pd.DataFrame):
         coded = iter(tokenizer.encode_all([t for _, t in some if t]))
         return [(i, *(next(coded) if t else (np.zeros(0, np.uint32), np.zeros(0, np.int64)))) for i, t in some]
 
-    for doc_id, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"]):
+    for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
         some.append((doc_id, text))
         chars += len(text or "")
         if chars >= TEXT_AT_ONCE:
@@ -223,14 +225,13 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
 
         def frame(out):
             cols = list(zip(*out)) or [()] * 7
-            names = [c.split()[0] for c in _PIECES.split(", ")]
-            return pd.DataFrame({n: pd.array(c, dtype="Int64") for n, c in zip(names, cols)})
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[c.split()[0] for c in _PIECES.split(", ")])
 
-        for pdf in batches:
+        for batch in batches:
             out: list = []
-            for doc_id, ids, ends in _encoded(tokenizer, pdf):
+            for doc_id, ids, ends in _encoded(tokenizer, batch):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4", copy=False)
-                held.append((None if doc_id is pd.NA else int(doc_id), ids, 0, ends))
+                held.append((doc_id, ids, 0, ends))
                 tokens += len(ids)
                 if tokens >= block:
                     held, number = _emit(held, _solve(held, window)[:-1], number, out)
@@ -241,7 +242,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
             _emit(held, _solve(held, window), number, out)
         yield frame(out)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, _PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _PIECES)
 
 
 def tokenizer_path() -> str:

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,11 +49,12 @@ def scored(docs: DataFrame, features: Callable, probability: Callable, held_out:
     """(doc_id, held_out, score, predicted) of every document in one narrow pass over the whole texts."""
 
     def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": probability(features(pdf["text"]))})
+        for batch in batches:  # the ids stay Arrow: pandas turns those beside a null into floats
+            texts = pd.Series(batch.column("text").to_pylist(), dtype=object)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(probability(features(texts)), pa.float64())], names=["doc_id", "held_out", "score"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
-    return with_prediction(plain.mapInPandas(run, "doc_id long, held_out boolean, score double"))
+    return with_prediction(plain.mapInArrow(run, "doc_id long, held_out boolean, score double"))
 
 
 def with_prediction(rows: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,13 +60,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp bigint), and the digest if its column is named: one narrow pass, no shuffle."""
 
     def run(batches):
-        for pdf in batches:
-            fps = np.array([fingerprint(t) for t in pdf["text"]], np.uint64).view(np.int64)
-            yield pdf.drop(columns="text").assign(fp=fps)
+        for batch in batches:
+            fps = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
+            kept = [n for n in batch.schema.names if n != "text"]  # the ids stay Arrow: pandas turns those beside a null into floats
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(fps)], names=[*kept, "fp"])
 
     extra = [F.col(digest_col).alias("digest")] if digest_col else []
     schema = "doc_id long, digest string, fp long" if digest_col else "doc_id long, fp long"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *extra).mapInPandas(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *extra).mapInArrow(run, schema)
 
 
 def _byte(position: int):
