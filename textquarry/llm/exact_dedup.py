@@ -6,9 +6,10 @@ Slots hold the full digest and the winner's locator. Incoming rows are reduced t
 first, so a text that fills a third of the table is one lookup; a lookup compares all 32 bytes.
 Members join the historical group, the rest form groups of their own.
 
-Defined results: a null text is empty; a null doc_id never wins over another; repeated rows (same
-doc_id and text) are one group and exactly one of them stays; an empty table gives an empty result;
-extra columns are ignored.
+Defined results: a null text is empty; a null doc_id never wins over another, and every other id, the
+least and the largest too, counts as itself; of repeated rows (same doc_id and text) exactly one stays,
+the one whose other columns hash least; texts may be of any length; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ from .common import WHITESPACE, durable, table, text_or_empty
 
 DIGESTS_PER_BUCKET = 25_000
 LEAST_BUCKETS = 64
-NO_ID = (1 << 63) - 1
+#: Digests of repeated rows up to this number (32 bytes each) are broadcast.
+BROADCAST_MOST = 200_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-_INDEX = "bucket int, sizes array<int>, bits binary, digests binary, ids array<long>, lengths array<long>, counts array<long>"
-_GROUPS = "digest binary, keep_id long, keep_n long, group_size long"
+# an id travels as (none, id) without nulls: pandas turns integers beside a null into floats
+_INDEX = "bucket int, sizes array<int>, bits binary, digests binary, nones array<boolean>, ids array<long>, lengths array<long>, counts array<long>"
+_GROUPS = "digest binary, none boolean, keep_id long, keep_n long, group_size long"
 
 
 def _mixed(words: np.ndarray, level: int) -> np.ndarray:
@@ -81,39 +84,33 @@ def _index_of(pdf: pd.DataFrame) -> pd.DataFrame:
     sizes, bits, slot = build_mph(digests)
     order = np.argsort(slot)
     col = lambda c: pdf[c].to_numpy(object)[order].tolist()
-    return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "sizes": [sizes], "bits": [bits], "digests": [b"".join(digests[i] for i in order)], "ids": [col("keep_id")], "lengths": [col("keep_n")], "counts": [col("group_size")]})
+    return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "sizes": [sizes], "bits": [bits], "digests": [b"".join(digests[i] for i in order)], "nones": [col("none")], "ids": [col("keep_id")], "lengths": [col("keep_n")], "counts": [col("group_size")]})
 
 
 def _matched(new: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     """Old groups with what joins them, and the new groups."""
     stored, old = [], 0
-    ids, lengths, counts = [], [], []
+    best, counts = [], []  # what stays: the most code points, then an id, then the least id
     if len(index):
         row = index.iloc[0]
         stored = [bytes(row["digests"][i : i + 32]) for i in range(0, len(row["digests"]), 32)]
-        ids, lengths, counts = list(row["ids"]), list(row["lengths"]), list(row["counts"])
+        best, counts = [(-int(n), bool(x), int(i)) for n, x, i in zip(row["lengths"], row["nones"], row["ids"])], list(row["counts"])
         old = len(stored)
     digests = [bytes(x) for x in new["digest"]]
     slots = lookup_mph(list(index.iloc[0]["sizes"]), index.iloc[0]["bits"], digests) if old else [-1] * len(digests)
-    for d, s, i, n, c in zip(digests, slots, new["keep_id"], new["keep_n"], new["group_size"], strict=True):
+    for d, s, x, i, n, c in zip(digests, slots, new["none"], new["keep_id"], new["keep_n"], new["group_size"], strict=True):
         if s >= 0 and stored[s] == d:
             counts[s] += c
-            if (n, -i) > (lengths[s], -ids[s]):
-                lengths[s], ids[s] = n, i
+            best[s] = min(best[s], (-int(n), bool(x), int(i)))
         else:
-            stored.append(d), ids.append(i), lengths.append(n), counts.append(c)
-    return pd.DataFrame({"digest": stored, "keep_id": ids, "keep_n": lengths, "group_size": counts})
+            stored.append(d), best.append((-int(n), bool(x), int(i))), counts.append(c)
+    return pd.DataFrame({"digest": stored, "none": np.array([b[1] for b in best], bool), "keep_id": np.array([b[2] for b in best], np.int64), "keep_n": np.array([-b[0] for b in best], np.int64), "group_size": np.array(counts, np.int64)})
 
 
 def normalised(text_col: str):
     return F.translate(text_or_empty(text_col), WHITESPACE, "")
 
 
-def _id(col: str):
-    """A null doc_id counts as the largest."""
-    return F.coalesce(F.col(col).cast("long"), F.lit(NO_ID))
-
-
 def digests_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Distinct (doc_id, n, digest) with the number of rows that share all three."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(text_or_empty(text_col)).cast("long").alias("n"), F.unhex(F.sha2(normalised(text_col).cast("binary"), 256)).alias("digest"))
@@ -129,38 +126,41 @@ def groups_of(rows: DataFrame, is_history=None) -> DataFrame:
     spark = rows.sparkSession
     is_history = F.xxhash64("doc_id") % 2 == 0 if is_history is None else is_history
     buckets = max(LEAST_BUCKETS, -(-rows.count() // DIGESTS_PER_BUCKET))
-    best = F.max(F.struct("n", -_id("doc_id")))
-    distinct = lambda of: of.groupBy("digest").agg(best.alias("best"), F.sum("copies").alias("group_size")).select("digest", (-F.col("best.col2")).alias("keep_id"), F.col("best.n").alias("keep_n"), "group_size", F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int").alias("bucket"))
+    best = F.min(F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id")))
+    named = lambda of: of.select("digest", "best.none", F.col("best.id").alias("keep_id"), (-F.col("best.n")).alias("keep_n"), "group_size", F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int").alias("bucket"))
+    distinct = lambda of: named(of.groupBy("digest").agg(best.alias("best"), F.sum("copies").alias("group_size")))
     index = durable(distinct(rows.filter(is_history)).groupBy("bucket").applyInPandas(_index_of, _INDEX))
     incoming = distinct(rows.filter(~is_history))
-    return durable(incoming.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(lambda new, old: _matched(new, old), _GROUPS))
+    groups = incoming.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(lambda new, old: _matched(new, old), _GROUPS)
+    return durable(groups).select("digest", F.when(~F.col("none"), F.col("keep_id")).alias("keep_id"), "keep_n", "group_size")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row with the row that stays for it."""
     rows = durable(digests_of(docs, id_col, text_col))
     joined = rows.join(groups_of(rows), "digest", "left")
-    won = (_id("doc_id") == F.col("keep_id")) & (F.col("n") == F.col("keep_n"))
+    won = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("keep_n"))
     copy = F.explode(F.sequence(F.lit(1).cast("long"), "copies"))
-    return joined.withColumn("copy", copy).select("doc_id", F.nullif("keep_id", F.lit(NO_ID)).alias("keep_id"), "group_size", (won & (F.col("copy") == 1)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return joined.withColumn("copy", copy).select("doc_id", "keep_id", "group_size", (won & (F.col("copy") == 1)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
     rows = durable(digests_of(docs, id_col, text_col))
-    won = groups_of(rows).select(F.col("digest").alias("_tq_d"), F.col("keep_id").alias("_tq_i"), F.col("keep_n").alias("_tq_n"))
+    groups = groups_of(rows).select(F.col("digest").alias("_tq_d"), F.col("keep_id").alias("_tq_i"), F.col("keep_n").alias("_tq_n"))
+    repeats = rows.filter("copies > 1").select("digest", "doc_id", "n")
     keyed = docs.withColumns({"_tq_digest": F.unhex(F.sha2(normalised(text_col).cast("binary"), 256)), "_tq_len": F.length(text_or_empty(text_col)).cast("long")})
-    same = (F.col("_tq_digest") == F.col("_tq_d")) & (F.col("_tq_len") == F.col("_tq_n")) & (_id(id_col) == F.col("_tq_i"))
-    kept = keyed.join(won, same)
-    once = F.row_number().over(_by("_tq_digest", text_col))
-    once_more = rows.filter("copies > 1").limit(1).count()  # repeated rows need one of them picked; most tables have none
-    return (kept.withColumn("_tq_rn", once).filter("_tq_rn = 1") if once_more else kept).select(*docs.columns)
-
-
-def _by(key: str, text_col: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy(F.xxhash64(text_col))
+    same = (F.col("_tq_digest") == F.col("_tq_d")) & (F.col("_tq_len") == F.col("_tq_n")) & F.col(id_col).cast("long").eqNullSafe(F.col("_tq_i"))
+    kept = keyed.join(groups, same)
+    if repeats.limit(1).count():  # most tables have none; else one of each group's equal rows is picked without gathering them
+        again = F.broadcast(repeats.select("digest").distinct()) if repeats.count() <= BROADCAST_MOST else repeats.select("digest").distinct()
+        often = again.select(F.col("digest").alias("_tq_often"))
+        once = kept.join(often, F.col("_tq_digest") == F.col("_tq_often"), "left_anti")
+        many = kept.join(often, F.col("_tq_digest") == F.col("_tq_often"), "left_semi").withColumn("_tq_all", F.xxhash64(*docs.columns))
+        least = many.groupBy(F.col("_tq_digest").alias("_tq_by")).agg(F.min("_tq_all").alias("_tq_least"))
+        chosen = many.join(least, (F.col("_tq_digest") == F.col("_tq_by")) & (F.col("_tq_all") == F.col("_tq_least")))
+        kept = once.select(*docs.columns).unionByName(chosen.dropDuplicates(["_tq_digest"]).select(*docs.columns))
+    return kept.select(*docs.columns)
 
 
 def op7_exact_dedup(spark, sf_dir) -> DataFrame:
