@@ -80,6 +80,15 @@ def unit_hash(*cols: Column, seed: str = "") -> Column:
     return (bits.cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
+def spread(rows: DataFrame, n: str, name: str, chunk: int = 4096) -> DataFrame:
+    """A row for each number `name` from 0 to n - 1; a row that stands for very many is dealt to many tasks."""
+    blocks = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / chunk))))
+    if rows.filter(F.col(n) > chunk).limit(1).count():
+        blocks = blocks.repartition(*blocks.columns)
+    first = F.col("_block") * chunk
+    return blocks.withColumn(name, F.explode(F.sequence(first, F.least(first + chunk, F.col(n)) - 1))).drop("_block")
+
+
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Connected components of links (u bigint, v bigint) as rows (node, root), root the least node.
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITESPACE, durable, table, text_or_empty
+from .common import WHITESPACE, durable, spread, table, text_or_empty
 
 DIGESTS_PER_BUCKET = 25_000
 LEAST_BUCKETS = 64
@@ -138,10 +138,9 @@ def groups_of(rows: DataFrame, is_history=None) -> DataFrame:
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row with the row that stays for it."""
     rows = durable(digests_of(docs, id_col, text_col))
-    joined = rows.join(groups_of(rows), "digest", "left")
+    joined = spread(rows, "copies", "copy").join(groups_of(rows), "digest", "left")
     won = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("keep_n"))
-    copy = F.explode(F.sequence(F.lit(1).cast("long"), "copies"))
-    return joined.withColumn("copy", copy).select("doc_id", "keep_id", "group_size", (won & (F.col("copy") == 1)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return joined.select("doc_id", "keep_id", "group_size", (won & (F.col("copy") == 0)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
