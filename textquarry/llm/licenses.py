@@ -3,53 +3,39 @@
 Words are runs of letters and digits, lower-cased; shingles take five words. A window has WINDOW = 4
 shingles and the next one starts STEP = 2 further, so every shingle lies in two windows. A window's
 k-th MinHash is the least shingle hash after XOR with the k-th constant; bands hold one MinHash each.
-Templates are windowed at every shingle. A stretch of 6 template shingles or more in a text holds a
-text window that equals a template window, so all bands agree. A template of one shingle is a quarter
-of a window: with 16 bands and two windows it is missed with a chance of 0.75 ** 32, 0.01 %.
-
-Retrieved (document, template) pairs are verified exactly: the distinct shingles of the template
-within a stretch of a quarter more than its length are at least 0.8 of them.
-
-Everything is DataFrame operations: one pass explodes windows as four numbers each, and only windows
-that hit a band or hold a template's shingle survive it. The templates are a bounded parameter, so
-their tables are literals. A repeated line costs rows in proportion to its occurrences.
-
-Defined results: null, empty and short texts match nothing; repeated rows of one doc_id and text are
-one; rows with a null doc_id keep their matches under null; an empty table gives an empty result;
-extra columns are ignored.
+The index holds the bands of every template shingle by itself, the least that a window can share with
+a template: a window that has one of a template's shingles collides in a band with a chance of a quarter,
+so with 16 bands and two windows an occurrence is missed with a chance of 0.75 ** 32, 0.01 %; a window
+within a stretch of the template collides for certain.
+
+One pass explodes the windows. A bitmap of the template shingles (false for certain, or perhaps true)
+drops nearly all windows that can't collide before their bands are joined with the index, so no text and
+no array is shuffled. The retrieved windows' shingles are then verified exactly: the distinct
+shingles of the template within a stretch of a quarter more than its length are at least 0.8 of them.
+The templates are a parameter; their tables are broadcast up to BROADCAST_MOST rows and joined as Spark
+sees fit beyond.
+
+Defined results: null, empty and short texts match nothing; a row is judged by its own text alone, also
+where doc_ids are null or repeat; equal rows (doc_id and text) give their matches once; a repeated line
+counts as often as it occurs; texts are scanned whole, of any length; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, inline_rows, table, text_or_empty
+from .license_texts import TEMPLATES
 
 SHINGLE, WINDOW, STEP, BANDS, CONTAINED = 5, 4, 2, 16, 0.8
-#: Notices of public licenses by SPDX name.
-TEMPLATES = [
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
-    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
-    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
-]
+BROADCAST_MOST = 500_000
+#: Bits of the bitmap per template shingle, at least.
+BITS_PER_SHINGLE = 128
 _WORD = r"[\p{L}\p{N}]+"
-_RESULT = "doc_id long, template int, license string, shingles int, matched int, first_word int, places long"
 
 
 def _constants() -> list[int]:
@@ -81,51 +67,54 @@ def _windows(h: Column, step: int) -> Column:
 
 
 def template_tables(spark, templates=None) -> tuple[DataFrame, DataFrame]:
-    """(template, license, shingles, h) and (template, band, value); both as small as the templates."""
-    rows = [{"template": i, "license": name, "text": text} for i, (name, text) in enumerate(templates or TEMPLATES)]
-    hashed = inline_rows(spark, rows, "template int, license string, text string").withColumn("hashes", shingles(F.col("text")))
-    single = hashed.select("template", "license", F.size(F.array_distinct("hashes")).alias("shingles"), F.explode(F.array_distinct("hashes")).alias("h"))
-    # sharing is symmetric: a template shorter than a window is a set of fewer shingles
-    windows = hashed.select("template", F.explode(_windows(F.col("hashes"), 1)).alias("w")).select("template", "w.*")
-    xs = [F.col(f"x{k}") for k in range(WINDOW)]
-    bands = windows.select("template", F.explode(F.array(*[F.struct(F.lit(k).alias("band"), _minhash(xs, c).alias("value")) for k, c in enumerate(_constants())])).alias("b")).select("template", "b.*").distinct()
-    return single, bands
+    """(template, license, shingles, h) and the index (band, value, template)."""
+    rows = [{"template": i, "license": name, "text": text} for i, (name, text) in enumerate(TEMPLATES if templates is None else templates)]
+    hashed = inline_rows(spark, rows, "template int, license string, text string").withColumn("hashes", F.array_distinct(shingles(F.col("text"))))
+    single = durable(hashed.select("template", "license", F.size("hashes").alias("shingles"), F.explode("hashes").alias("h")))
+    values = F.inline(F.array(*[F.struct(F.lit(k).alias("band"), F.col("h").bitwiseXOR(F.lit(c)).alias("value")) for k, c in enumerate(_constants())]))
+    return single, single.select("template", values)
+
+
+def _may_hold(known: np.ndarray) -> tuple[Column, int]:
+    """A bitmap of the hashes' last bits as an array literal, and the mask of a hash's place in it."""
+    bits = 1 << max(12, (BITS_PER_SHINGLE * len(known) - 1).bit_length())
+    flags = np.zeros(bits, np.uint8)
+    flags[known & (bits - 1)] = 1
+    longs = np.packbits(flags, bitorder="little").view("<i8")
+    return F.lit(longs), bits - 1
 
 
 def scan(docs: DataFrame, templates=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document and license template that it holds."""
-    spark = docs.sparkSession
-    single, bands = (durable(t) for t in template_tables(spark, templates))
-    band_sets: list[list[int]] = [[] for _ in range(BANDS)]
-    for _, band, value in bands.select("template", "band", "value").collect():
-        band_sets[band].append(value)
-    known = [r.h for r in single.select("h").distinct().collect()]
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), shingles(text_or_empty(text_col)).alias("h"))
-    windows = plain.select("doc_id", F.explode(_windows(F.col("h"), STEP)).alias("w")).select("doc_id", "w.*")
+    single, index = template_tables(docs.sparkSession, templates)
+    small = (lambda df: F.broadcast(df)) if single.count() * BANDS <= BROADCAST_MOST else (lambda df: df)
+    bitmap, mask = _may_hold(np.array([r.h for r in single.select("h").distinct().collect()], np.int64))  # as small as the templates
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t"), shingles(text_or_empty(text_col)).alias("h"))
+    windows = plain.select("doc_id", "t", F.explode(_windows(F.col("h"), STEP)).alias("w")).select("doc_id", "t", "w.*")
     xs = [F.col(f"x{k}") for k in range(WINDOW)]
     mins = [_minhash(xs, c) for c in _constants()]
+
+    def may_be_known(x: Column) -> Column:
+        return F.getbit(F.get(bitmap, F.shiftright(x.bitwiseAND(F.lit(mask)), 6).cast("int")), x.bitwiseAND(F.lit(63)).cast("int")) == 1
+
     hit = F.lit(False)
-    for m, values in zip(mins, band_sets):
-        hit = hit | m.isin(values)
-    holds = F.lit(False)
-    for x in xs:
-        holds = holds | x.isin(known)
-    kept = durable(windows.filter(hit | holds).distinct())
-    banded = kept.select("doc_id", F.explode(F.array(*[F.struct(F.lit(k).alias("band"), m.alias("value")) for k, m in enumerate(mins)])).alias("b")).select("doc_id", "b.*")
-    retrieved = banded.join(F.broadcast(bands), ["band", "value"]).select("doc_id", "template").distinct()
-    found = kept.select("doc_id", F.explode(F.array(*[F.struct(F.greatest(F.least(F.col("at") + k, "last"), F.lit(0)).alias("at"), x.alias("h")) for k, x in enumerate(xs)])).alias("s")).select("doc_id", "s.*").distinct()
-    places = found.join(F.broadcast(single), "h").withColumnRenamed("doc_id", "d").withColumnRenamed("template", "t")
-    same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("template"))
-    mine = places.join(retrieved, same).drop("d", "t")
+    for x in xs:  # a band's value comes from one of the window's shingles, so a window without a known one can't collide
+        hit = hit | may_be_known(x)
+    # written before the join: with its code in one method, the scan's would be too long for the compiler
+    candidates = durable(windows.filter(hit))
+    banded = candidates.select("doc_id", "t", "at", "last", *xs, F.inline(F.array(*[F.struct(F.lit(k).alias("band"), m.alias("value")) for k, m in enumerate(mins)])))
+    retrieved = durable(banded.join(small(index), ["band", "value"]).select("doc_id", "t", "template", "at", "last", *xs).distinct())
+    shingled = F.inline(F.array(*[F.struct(F.greatest(F.least(F.col("at") + k, "last"), F.lit(0)).alias("at"), x.alias("h")) for k, x in enumerate(xs)]))
+    mine = retrieved.select("doc_id", "t", "template", shingled).distinct().join(small(single), ["template", "h"])
     # distinct shingles within the stretch that begins here; the stretch depends on the template alone
-    start = Window.partitionBy("doc_id", "template").orderBy("at")
+    start = Window.partitionBy("doc_id", "t", "template").orderBy("at")
     longest = -(-5 * max(1, single.agg(F.max("shingles")).first()[0] or 1) // 4)
     ahead = F.collect_list(F.struct("at", "h")).over(start.rangeBetween(0, longest))
     reach = F.col("at") + F.ceil(F.col("shingles") * 1.25) - 1
     inside = F.size(F.array_distinct(F.transform(F.filter("ahead", lambda s: s.at <= F.col("reach")), lambda s: s.h)))
     counted = mine.withColumn("ahead", ahead).withColumn("reach", reach).withColumn("inside", inside)
     good = counted.filter(F.col("inside") >= F.col("shingles") * CONTAINED)
-    return good.groupBy("doc_id", "template", "license", "shingles").agg(F.max("inside").cast("int").alias("matched"), F.min("at").cast("int").alias("first_word"), F.count("*").alias("places"))
+    return good.groupBy("doc_id", "t", "template", "license", "shingles").agg(F.max("inside").cast("int").alias("matched"), F.min("at").cast("int").alias("first_word"), F.count("*").alias("places")).drop("t")
 
 
 def op9_licenses(spark, sf_dir) -> DataFrame:
