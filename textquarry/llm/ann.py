@@ -2,10 +2,12 @@
 
 Vectors get one more component so that the largest inner product is the least distance, are rotated by
 a random orthogonal matrix, and go to the list of their nearest centroid (fitted on a bounded sample;
-every row is indexed). A query probes its nearest lists. In a list, distances are summed by column
-blocks: after each block a hypothesis test compares the partial distance, scaled to all dimensions,
-with the query's current 20th best, and candidates that can hardly be nearer are abandoned. Survivors
-are scored exactly, in double precision on the original vectors.
+every row is indexed). A query probes its nearest lists; how many is measured on the sample, so that
+they hold HELD of the true neighbours there: few where vectors cluster, most where they are uniform. In
+a list, distances are summed by column blocks: after each block a hypothesis test compares the partial
+distance, scaled to all dimensions, with the query's current 20th best, and candidates that can hardly
+be nearer are abandoned. While many pairs are open a block is one matrix product; the few that stay
+open are followed one by one. Survivors are scored exactly, in double precision on the original vectors.
 
 Lists are scanned in tiles: a tile holds several small lists, or a block of a large one, TILE vectors at
 most, so that a vector that fills a third of the table is many tasks. The queries that probe a tile come
@@ -29,14 +31,14 @@ from pyspark.sql import functions as F
 from .common import durable, inline_rows, table
 
 NEAREST, QUERY_EVERY = 20, 20
-#: Rows that the centroids are fitted on, at most about.
-SAMPLE_MOST = 8192
+#: Rows that the centroids are fitted on, at most about, and those of them that measure how many lists to probe.
+SAMPLE_MOST, MEASURED_MOST = 8192, 512
 LISTS_LEAST, LISTS_MOST, ROWS_PER_LIST = 8, 1024, 800
-#: Share of the lists that a query probes, and the least number.
-PROBED, PROBES_LEAST = 0.75, 8
-TILE, TILES_LEAST, QUERIES, COLUMNS = 16384, 16, 4096, 16
-#: Candidates and queries that are compared at once.
-CHUNK, AT_ONCE = 512, 128
+#: The share of the sample's true neighbours that the probed lists must hold.
+HELD = 0.96
+TILE, TILES_LEAST, QUERIES, COLUMNS = 16384, 16, 16384, 24
+#: Candidates and queries that are compared at once, at most, and the share of open pairs under which they are followed one by one.
+CHUNK, AT_ONCE, SPARSE = 2048, 256, 0.1
 #: The hypothesis test's width: a larger one abandons less.
 EPSILON = 2.1
 SEED = 7
@@ -71,7 +73,21 @@ class Index:
         self.rotation = np.linalg.qr(rng.standard_normal((dims, dims)))[0]
         lists = int(min(LISTS_MOST, max(LISTS_LEAST, rows // ROWS_PER_LIST)))
         self.centers = _kmeans(self.rotated(sample), lists, rng)
-        self.probes = int(min(len(self.centers), max(PROBES_LEAST, round(PROBED * len(self.centers)))))
+        self.probes = self._measured(sample)
+
+    def _measured(self, sample: np.ndarray, nearest: int = NEAREST) -> int:
+        """The least number of nearest lists that hold HELD of the sample's true neighbours; the full table's are nearer still."""
+        at = np.unique(np.linspace(0, len(sample) - 1, min(len(sample), MEASURED_MOST)).astype(int))
+        lists, k = self.distances(self.rotated(sample)).argmin(axis=1), min(nearest, len(sample) - 1)
+        if k < 1:
+            return len(self.centers)
+        score = sample[at] @ sample.T
+        score[np.arange(len(at)), at] = -np.inf
+        found = np.argpartition(-score, k - 1, axis=1)[:, :k]
+        order = np.argsort(self.distances(self.rotated(sample[at], query=True)), axis=1, kind="stable")
+        place = np.argsort(order, axis=1)  # of each list in the query's order
+        met = np.sort(np.take_along_axis(place, lists[found], axis=1).ravel())
+        return int(met[min(len(met) - 1, int(np.ceil(HELD * len(met))) - 1)]) + 1
 
     def rotated(self, x: np.ndarray, query: bool = False) -> np.ndarray:
         more = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.top - (x**2).sum(axis=1), 0.0))
@@ -97,31 +113,25 @@ def scan(index: Index, ids: np.ndarray, x: np.ndarray, lists: np.ndarray, query_
     probed: a row for each query, a column for each list; a query meets its probed lists only.
     """
     order = np.lexsort((ids, lists))
+    order = order[_needed(ids[order], x[order], nearest)]
     ids, x, lists = ids[order], x[order], lists[order]
-    rx, rq = index.rotated(x), index.rotated(q, query=True)
-    dims, slack = rx.shape[1], 1e-9 * (1 + index.top)
+    rx, rq = (index.rotated(v, query).astype(np.float32) for v, query in ((x, False), (q, True)))
+    dims, slack = rx.shape[1], 2e-5 * (1 + index.top)
     ends = [*range(COLUMNS, dims, COLUMNS), dims]
-    # a few candidates are measured whole: they give the first bounds and may be results
+    # a few candidates from all over are measured whole: they give the first bounds; chunks grow from there
     few = np.unique(np.linspace(0, len(ids) - 1, min(len(ids), 4 * nearest)).astype(int))
-    others = np.setdiff1d(np.arange(len(ids)), few)
-    chunks = [few, *(others[i : i + CHUNK] for i in range(0, len(others), CHUNK))]
+    others, chunks, at, size = np.setdiff1d(np.arange(len(ids)), few), [few], 0, 4 * nearest
+    while at < len(others):
+        chunks.append(others[at : at + min(size, CHUNK)])
+        at, size = at + min(size, CHUNK), 2 * size
     out = []
     for start in range(0, len(q), AT_ONCE):
         some = slice(start, start + AT_ONCE)
-        mq, mine = rq[some], query_ids[some]
-        bounds = np.full(len(mq), np.inf)
-        query, distance, at = np.zeros(0, int), np.zeros(0), np.zeros(0, int)
+        mq, mine, asked = rq[some], query_ids[some], probed[some]
+        bounds = np.full(len(mq), np.inf, np.float32)
+        query, distance, at = np.zeros(0, int), np.zeros(0, np.float32), np.zeros(0, int)
         for chunk in chunks:
-            limit = lambda b: (bounds * (b / dims) * (1 + EPSILON / np.sqrt(b)) ** 2 if b < dims else bounds) + slack  # noqa: E731, B023
-            c, first = rx[chunk], slice(0, ends[0])
-            part = (c[:, first] ** 2).sum(axis=1) - 2 * mq[:, first] @ c[:, first].T + (mq[:, first] ** 2).sum(axis=1)[:, None]
-            stays = (part <= limit(ends[0])[:, None]) & probed[some][:, lists[chunk]] & (ids[chunk][None, :] != mine[:, None])
-            i, j = np.nonzero(stays)
-            part = part[i, j]
-            for a, b in zip(ends, ends[1:]):  # the other columns for the pairs that are still open
-                part = part + ((c[j, a:b] - mq[i, a:b]) ** 2).sum(axis=1)
-                keep = part <= limit(b)[i]
-                i, j, part = i[keep], j[keep], part[keep]
+            i, j, part = _open(rx[chunk], mq, asked[:, lists[chunk]] & (ids[chunk][None, :] != mine[:, None]), bounds, ends, slack)
             query, distance, at = np.r_[query, i], np.r_[distance, part], np.r_[at, chunk[j]]
             order, rank = _ranked(query, distance, at, ids)
             last = order[rank == nearest - 1]
@@ -134,6 +144,42 @@ def scan(index: Index, ids: np.ndarray, x: np.ndarray, lists: np.ndarray, query_
     return pd.concat(out)
 
 
+def _needed(ids: np.ndarray, x: np.ndarray, nearest: int) -> np.ndarray:
+    """Rows, ordered by list and id, without those that no query can return: of equal vectors the first ids go first.
+
+    Of one vector and id `nearest` rows are enough, and of one vector twice as many, as a query's own id drops out.
+    """
+    rows = np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel()
+    _, same = np.unique(rows, return_inverse=True)
+    by = np.lexsort((ids, same))
+    first = lambda new: np.arange(len(by)) - np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
+    vector = np.r_[True, same[by][1:] != same[by][:-1]]
+    by = by[first(vector | np.r_[True, ids[by][1:] != ids[by][:-1]]) < nearest]
+    vector = np.r_[True, same[by][1:] != same[by][:-1]]
+    return np.sort(by[first(vector) < 2 * nearest])
+
+
+def _open(c: np.ndarray, q: np.ndarray, open_: np.ndarray, bounds: np.ndarray, ends: list[int], slack: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, distance) of the pairs that no hypothesis test abandons."""
+    dims, begin, dense = ends[-1], 0, True
+    part = np.zeros(open_.shape, np.float32)
+    for end in ends:
+        limit = bounds * (end / dims) * (1 + EPSILON / np.sqrt(end)) ** 2 + slack if end < dims else bounds + slack
+        a, b = c[:, begin:end], q[:, begin:end]
+        if dense:
+            part += (a**2).sum(axis=1) + (b**2).sum(axis=1)[:, None] - 2 * (b @ a.T)
+            open_ &= part <= limit[:, None]
+            if end == dims or np.count_nonzero(open_) < SPARSE * open_.size:
+                i, j = np.nonzero(open_)
+                part, dense = part[i, j], False
+        else:
+            part = part + ((a[j] - b[i]) ** 2).sum(axis=1)
+            keep = part <= limit[i]
+            i, j, part = i[keep], j[keep], part[keep]
+        begin = end
+    return i, j, part
+
+
 def tiles(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each list's first tile and its number of tiles: small neighbours share a tile, large lists have several."""
     most = min(TILE, -(-int(sizes.sum()) // TILES_LEAST))
