@@ -1,9 +1,10 @@
 """Quality classifier: histogram gradient-boosted trees over statistics of the whole text.
 
 Labels come from rows outside the held-out fold; lang, source and doc_id are never inputs.
-Defined results: a null text is empty, an empty text has all statistics 0 and gets that leaf's score;
-repeated rows are scored each; without labels every score is 0.5; an empty table gives an empty
-result; extra columns are ignored.
+Defined results: a null text is empty, an empty text has all statistics 0 and gets that leaf's score; a
+null doc_id is kept null, every other id to the last digit; equal texts get equal scores; texts of any
+length are read whole; repeated rows are scored each; of several labels of one doc_id the largest counts;
+without labels every score is 0.5; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -12,9 +12,10 @@ the spanning stars of its own links, at most one row per entry, never all pairs.
 LONGEST are split: a pair with four shared bytes needs a fifth, so the list is posted again by each
 of the other four positions, and what is still longer is compared block by block in separate tasks.
 
-Defined results: null and wordless texts have fingerprint zero; rows of one doc_id are judged each by
-its own text, rows without one like any other; an empty table gives an empty result; extra columns are
-ignored.
+Defined results: null and wordless texts have fingerprint zero and are linked like any other; a component
+without any doc_id has a null component_id, and ids are kept to the last digit; rows of one doc_id are
+judged each by its own text, rows without one like any other; texts of any length are read whole; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, durable, table
@@ -138,9 +139,13 @@ def _linked(batches):
 
 
 def _posted(rows: DataFrame, keys) -> DataFrame:
-    """Rows with a list's key, fingerprint, positions still open and the list's length; lists of one are dropped."""
+    """Rows with a list's key, fingerprint, positions still open and the list's length; lists of one are dropped.
+
+    Lengths are counted before the shuffle and joined, so no list is held by one task.
+    """
     one = rows.withColumn("k", F.explode(keys)).select("k.key", "fp", "k.open")
-    return one.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
+    lengths = one.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    return one.join(lengths, "key")
 
 
 def _key(tag, positions) -> F.col:
