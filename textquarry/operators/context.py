@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Fixed value: what stands behind a cut tool output.
 MARKER = " ...[truncated]"
 
 
@@ -19,9 +20,11 @@ def render(turns: DataFrame, by: list[str], order: str = "turn", name: str = "re
 
 
 def common_prefix_length(a: Column, b: Column) -> Column:
-    """Equal leading code points, by halving would need a loop: compared in one pass."""
-    differs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: ~x.eqNullSafe(y))
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).otherwise(F.coalesce(F.nullif(F.array_position(differs, True), F.lit(0)) - 1, F.length(a)).cast("int"))
+    """Equal leading code points: from 2^30 down, each power of two is added while the pieces of that length agree."""
+    n = F.least(F.length(a), F.length(b))
+    piece = lambda c, lo, step: F.substring(c, lo + 1, step)
+    longer = lambda lo, step: F.when((step <= n - lo) & (piece(a, lo, step) == piece(b, lo, step)), lo + step).otherwise(lo)
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), F.lit(0), longer)
 
 
 def prefix_is_stable(before: Column, after: Column) -> Column:
@@ -41,7 +44,8 @@ def cap_tool_output(content: Column, limit: int, marker: str = MARKER) -> Column
 def estimate_cost(rendered: Column, cached: Column, price_per_1k: float = 0.003, discount: float = 0.1, chars_per_token: float = 4.0) -> Column:
     """Fresh characters at the full price, those of the cached prefix at a discount."""
     per_char = price_per_1k / 1000 / chars_per_token
-    return (F.length(rendered) - common_prefix_length(cached, rendered)) * per_char + common_prefix_length(cached, rendered) * per_char * discount
+    cost = lambda same: (F.length(rendered) - same) * per_char + same * per_char * discount
+    return F.get(F.transform(F.array(common_prefix_length(cached, rendered)), cost), 0)  # the prefix is found once
 
 
 def capped_history(turns: DataFrame, limit: int, tool_role: str = "tool") -> DataFrame:
@@ -82,3 +86,10 @@ def saved(sizes: DataFrame, baseline: str = "keep_all") -> DataFrame:
     """(strategy, chars) with the share that each strategy saves over the baseline."""
     base = sizes.filter(F.col("strategy") == baseline).agg(F.sum("chars").alias("_base"))
     return sizes.crossJoin(F.broadcast(base)).withColumn("saved", F.round(1 - F.try_divide("chars", "_base"), 6)).drop("_base")
+
+
+def recalled(contexts: DataFrame, facts: DataFrame, by: str = "conv_id") -> DataFrame:
+    """(strategy, probes, recalled): in how many of a strategy's contexts (conv_id, strategy, rendered) the fact's value (conv_id, value) still stands."""
+    joined = contexts.join(facts, by)
+    kept = F.contains(F.lower("rendered"), F.lower("value")) & (F.length("value") > 0)
+    return joined.groupBy("strategy").agg(F.count("*").alias("probes"), F.coalesce(F.sum(kept.cast("long")), F.lit(0)).alias("recalled"))

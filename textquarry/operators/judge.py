@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_fact
+from . import replay
 
 # The prompts, byte for byte, since recorded replies are found by their hash.
 BINARY_PROMPT = """You are checking one specific fact. Answer with a single word, yes or no.
@@ -69,6 +70,27 @@ def prompts(cases: DataFrame) -> DataFrame:
     return cases.withColumns({"holistic_prompt": filled(HOLISTIC_PROMPT, **c), "binary_prompt": filled(BINARY_PROMPT, **c)})
 
 
+def asked(cases: DataFrame, prompt: str, model: Column, max_tokens: Column, seed: Column, temperature: Column) -> DataFrame:
+    """Cases with the request's key, under which a reply is recorded."""
+    return cases.withColumn("key", replay.key_of(replay.canonical_request(model, F.col(prompt), max_tokens, seed, temperature)))
+
+
+def judged_by(cases: DataFrame, store: DataFrame, read) -> DataFrame:
+    """Cases (key, ...) with the recorded reply `raw` and what `read` makes of it as `verdict`; a request that was never recorded is an error."""
+    return replay.replay(cases, store).withColumn("verdict", read(F.col("raw")))
+
+
+def paired(judgements: DataFrame, truth: DataFrame, on: str) -> DataFrame:
+    """Each judgement with its truth; one without the other, or a second one of the same id, is an error."""
+    once = lambda df, name: df.withColumn(name, F.lit(1))
+    both = once(judgements, "_j").join(once(truth, "_t"), on, "full")
+    alone = F.concat(F.lit("judgements and truth differ at "), F.col(on).cast("string"))
+    sizes = both.groupBy(on).agg(F.count("*").alias("_n"), F.count("_j").alias("_js"), F.count("_t").alias("_ts"))
+    wrong = sizes.filter("_n <> 1 OR _js <> 1 OR _ts <> 1").select(F.col(on), F.lit(True).alias("_wrong"))
+    checked = both.join(wrong, on, "left")
+    return checked.filter(F.when(F.col("_wrong"), F.raise_error(alone).cast("boolean")).otherwise(True)).drop("_j", "_t", "_wrong")
+
+
 def agreement(judged: DataFrame, verdict: str = "verdict", truth: str = "truth") -> DataFrame:
     """One row: decided and undecided, accuracy, share of yes, false-positive and false-negative rates."""
     v, t = F.col(verdict), F.col(truth)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -110,13 +110,79 @@ def called_tools(tool_calls: Column) -> Column:
     return F.transform(tool_calls, lambda c: F.coalesce(c["name"], F.lit("")))
 
 
-def encoded(texts: DataFrame, text_col: str, load: Callable[[], Callable[[list[str]], list]], prefix: str = "", batch: int = 32) -> DataFrame:
-    """Texts with an `embedding`; load() gives a model's list[str] -> vectors once in each task. E5 models take `passage: ` and `query: `."""
+def record(requests: DataFrame, store: DataFrame, complete: Callable[[], Callable[[str], str]], backend: str | None = None) -> DataFrame:
+    """The store with the replies that it lacked; requests: (key, model, prompt). Refuses backends that make no real call."""
+    name = recording_backend() if backend is None else backend
+    if name in ("replay", "fake"):
+        raise ValueError(f"backend {name!r} makes no real call, so there is nothing to record")
+    asked = live(misses(requests, store).dropDuplicates(["key"]), complete)
+    return merge(store, asked.select("key", "model", F.col("raw").alias("text")))
+
+
+def dispatch(requests: DataFrame, store: DataFrame | None = None, complete: Callable[[], Callable[[str], str]] | None = None, backend: str | None = None) -> DataFrame:
+    """Requests (key, prompt) with `raw` from the named backend: the store's reply, the echo, or a live model's."""
+    name = backend_name() if backend is None else backend
+    if name not in BACKENDS:
+        raise ValueError(f"unknown backend {name!r}; choose from {', '.join(BACKENDS)}")
+    if name == "fake":
+        return requests.withColumn("raw", F.col("prompt"))
+    if name == "replay":
+        if store is None:
+            raise ValueError("replay needs the store of recorded replies")
+        return replay(requests, store)
+    if complete is None:
+        raise ValueError(f"backend {name!r} needs its adapter, ollama(...) or llamacpp(...)")
+    return live(requests, complete)
+
+
+def _unit(vector) -> list[float]:
+    values = [float(v) for v in vector]
+    norm = sum(v * v for v in values) ** 0.5
+    return [v / norm for v in values] if norm else values
+
+
+def encoded(texts: DataFrame, text_col: str, load: Callable[[], Callable[[list[str]], list]], prefix: str = "", batch: int = 32, normalize: bool = True) -> DataFrame:
+    """Texts with an `embedding`, of unit length unless told otherwise; load() gives a model's list[str] -> vectors once in each task."""
 
     @F.pandas_udf("array<float>")
-    def run(batches: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = load()
-        texts_ = [prefix + t for t in batches]
-        return pd.Series([list(map(float, v)) for at in range(0, len(texts_), batch) for v in encode(texts_[at : at + batch])])
+        for some in batches:
+            said = [prefix + (t or "") for t in some]
+            vectors = [v for at in range(0, len(said), batch) for v in encode(said[at : at + batch])]
+            yield pd.Series([_unit(v) if normalize else [float(x) for x in v] for v in vectors], dtype=object)
 
     return texts.withColumn("embedding", run(F.col(text_col)))
+
+
+def encoded_corpus(passages: DataFrame, queries: DataFrame, load, text_col: str = "text", asymmetric: bool = True, **options) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a search; asymmetric (E5) models tell them apart by a fixed prefix."""
+    sides = ((passages, "passage: "), (queries, "query: "))
+    return tuple(encoded(df, text_col, load, said if asymmetric else "", **options) for df, said in sides)
+
+
+def cross_encoder(load: Callable[[], Callable[[list[tuple[str, str]]], list[float]]], batch: int = 16) -> Callable[[Column, Column], Column]:
+    """A scorer for rerank(): load() gives a model's list[(query, text)] -> scores once in each task. rerank() raises on NaN."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        score = load()
+        for queries, texts in batches:
+            pairs = list(zip(queries, texts))
+            yield pd.Series([float(s) for at in range(0, len(pairs), batch) for s in score(pairs[at : at + batch])], dtype="float64")
+
+    return lambda query, text: run(query, text)
+
+
+def segmented(sentences: DataFrame, text_col: str, load: Callable[[], Callable[[list[str]], list[list[list[str]]]]], batch: int = 32) -> DataFrame:
+    """Sentences with `segments`, the pieces of each word; load() gives a model once in each task. The model's frame marks are dropped."""
+
+    @F.pandas_udf("array<array<string>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        segment = load()
+        for some in batches:
+            said = [t or "" for t in some]
+            words = [w for at in range(0, len(said), batch) for w in segment(said[at : at + batch])]
+            yield pd.Series([[p for p in w if p not in (["[CLS]"], ["[SEP]"])] for w in words], dtype=object)
+
+    return sentences.withColumn("segments", run(F.col(text_col)))

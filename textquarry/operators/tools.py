@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 
 import pandas as pd
@@ -51,17 +52,63 @@ class Tool:
         return "\n".join([f"Call {self.name}. {self.description}", "Reply with JSON only, with keys:", *keys])
 
 
-_DECODER = json.JSONDecoder()
+_BRACES = re.compile(r'\\.|["{}]', re.DOTALL)
+
+
+def _ends(text: str, start: int) -> dict[int, int | None]:
+    """Each brace outside of strings from `start` on that opens, with its closing one, in one walk."""
+    found: dict[int, int | None] = {}
+    open_, quoted = [], False
+    for m in _BRACES.finditer(text, start):
+        mark = m[0]
+        if mark == '"':
+            quoted = not quoted
+        elif not quoted and mark == "{":
+            open_.append(m.start())
+            found[m.start()] = None
+        elif not quoted and mark == "}" and open_:
+            found[open_.pop()] = m.start()
+            if not open_:
+                break
+        elif not quoted and len(mark) > 1 and mark[1] in '"{}':  # a backslash escapes in strings only
+            return _slow_ends(text, start)
+    return found
+
+
+def _slow_ends(text: str, start: int) -> dict[int, int | None]:
+    """The same where backslashes stand outside of strings."""
+    found: dict[int, int | None] = {}
+    open_, quoted, at = [], False, start
+    while at < len(text):
+        c = text[at]
+        if quoted and c == "\\":
+            at += 1
+        elif c == '"':
+            quoted = not quoted
+        elif not quoted and c == "{":
+            open_.append(at)
+            found[at] = None
+        elif not quoted and c == "}" and open_:
+            found[open_.pop()] = at
+            if not open_:
+                break
+        at += 1
+    return found
 
 
 def first_object(text: str | None) -> dict | None:
-    """The first place of a text where a JSON object can be read."""
-    at = -1
-    while text and (at := text.find("{", at + 1)) >= 0:
-        try:
-            return _DECODER.raw_decode(text, at)[0]
-        except json.JSONDecodeError:
-            pass
+    """The first balanced {...} of a text that is JSON; what can't be read (too deep, too long a number) is passed over."""
+    ends: dict[int, int | None] = {}
+    at = text.find("{") if text else -1
+    while at >= 0:
+        if at not in ends:
+            ends |= _ends(text, at)
+        if (end := ends.get(at)) is not None:
+            try:
+                return json.loads(text[at : end + 1])
+            except (ValueError, RecursionError):
+                pass
+        at = text.find("{", at + 1)
     return None
 
 
@@ -83,6 +130,7 @@ def _fits(kind: str, value) -> bool:
     return not isinstance(value, bool) and isinstance(value, int if kind == "integer" else (int, float))
 
 
+# The wording of errors and hints, since they are parts of recorded prompts.
 def problems(tool: Tool, arguments, null_is_absent: bool = True) -> list[str]:
     """What is wrong with a parsed call, in words that can be sent back."""
     if not isinstance(arguments, dict):
@@ -133,12 +181,14 @@ def prompt(tool: Tool, task: Column, said: Column | None = None) -> Column:
 def run_tasks(tool: Tool, tasks: DataFrame, answer, max_attempts: int = 3, null_is_absent: bool = True) -> DataFrame:
     """(task_id, attempt, raw, parsed, ok, errors): rounds of asking; only failures go on to the next.
 
-    tasks: (task_id, task); answer: DataFrame(task_id, attempt, prompt) -> DataFrame with `raw` added.
+    tasks: (task_id, task); answer: DataFrame(task_id, attempt, prompt) -> DataFrame with `raw` added. A round's
+    rows are computed again where the next needs them, so replies must not vary: replay does not, and live
+    ones are recorded first. Nothing is held on executors.
     """
     open_, out = tasks.select("task_id", "task", F.lit(None).cast("string").alias("said")), None
     for attempt in range(1, max_attempts + 1):
         asked = open_.withColumn("attempt", F.lit(attempt)).withColumn("prompt", prompt(tool, F.col("task"), F.col("said") if attempt > 1 else None))
-        judged = answer(asked).withColumn("c", checked(tool, F.col("raw"), null_is_absent)).persist()
+        judged = answer(asked).withColumn("c", checked(tool, F.col("raw"), null_is_absent))
         rows = judged.select("task_id", "attempt", "raw", "c.parsed", "c.ok", "c.errors")
         out = rows if out is None else out.unionByName(rows)
         open_ = judged.filter(~F.col("c.ok")).select("task_id", "task", feedback(F.col("c.errors")).alias("said"))

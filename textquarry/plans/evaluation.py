@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import text as txt
@@ -24,12 +26,20 @@ CASES = "('q1', 'sixty minutes', 'it lasts sixty minutes', 'It lasts Sixty  minu
 CASE_NAMES = "question, fact, criterion, kept, lost, kept_score, lost_score, kept_yes, lost_yes"
 
 
+def _replies(spark, sf_dir):
+    """The inline replies and every turn and benchmark passage, read as a reply."""
+    inline = _values(spark, REPLIES, "id, text").select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("id"), "text")
+    turns = _turns(spark, sf_dir).select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
+    passages = read(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("id"), "text")
+    return inline.unionByName(turns).unionByName(passages)
+
+
 def yes_no_parse(spark, sf_dir):
-    return _values(spark, REPLIES, "id, text").select("id", judge.read_yes_no(F.col("text")).alias("verdict"))
+    return _replies(spark, sf_dir).select("id", judge.read_yes_no(F.col("text")).alias("verdict"))
 
 
 def score_parse(spark, sf_dir):
-    return _values(spark, REPLIES, "id, text").select("id", judge.read_score(F.col("text")).alias("score"))
+    return _replies(spark, sf_dir).select("id", judge.read_score(F.col("text")).alias("score"))
 
 
 def _judged(spark, sf_dir):
@@ -59,7 +69,28 @@ def _cases(spark):
 
 def build_cases(spark, sf_dir):
     made = judge.prompts(_cases(spark))
-    return made.select("question", "variant", "truth", F.length("holistic_prompt").alias("holistic_chars"), F.length("binary_prompt").alias("binary_chars"))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(c)
+    return made.select("question", "variant", "truth", digest("holistic_prompt"), digest("binary_prompt"))
+
+
+def judge_replay(spark, sf_dir):
+    """Prompt, key, recorded reply and verdict of both judges; the store's keys are made from the same prompts by hand."""
+    made, out = judge.prompts(_cases(spark)), []
+    kept = F.col("variant") == "kept"
+    said = {"binary": (F.when(kept, "Yes.").otherwise("Hard to say."), judge.read_yes_no), "holistic": (F.when(kept, "I rate it 5").otherwise("2 of 5"), judge.read_score)}
+    for name, (reply, reader) in said.items():
+        asked = judge.asked(made, f"{name}_prompt", F.lit("demo-model"), F.lit(64), F.lit(7), F.lit(0.0))
+        store = asked.select("key", reply.alias("text"))
+        judged = judge.judged_by(asked.select("question", "variant", "key"), store, reader)
+        out.append(judged.select("question", "variant", F.lit(name).alias("judge"), "key", F.col("verdict").cast("string").alias("verdict")))
+    return out[0].unionByName(out[1])
+
+
+def paired_agreement(spark, sf_dir):
+    """Judgements and truth from two tables that must hold the same ids."""
+    labels = read(spark, sf_dir, "labels")
+    judged = labels.select("doc_id", (F.col("quality") == 1).alias("verdict"))
+    return judge.agreement(judge.paired(judged, labels.select("doc_id", (F.col("toxic") == 0).alias("truth")), "doc_id"))
 
 
 def pair_separation(spark, sf_dir):
@@ -107,8 +138,19 @@ def context_cost(spark, sf_dir):
     return _rendered(spark, sf_dir).select("conv_id", "strategy", F.round(cost, 9).alias("cost"))
 
 
+def facts_recalled(spark, sf_dir):
+    """The first word of each conversation as its fact: in how many contexts each strategy keeps it."""
+    turns = _turns(spark, sf_dir)
+    rendered = context.render(context.strategies(turns, 120, 2, SUMMARY, "assistant"), ["conv_id", "strategy"])
+    facts = turns.filter("turn = 0").select("conv_id", F.element_at(F.split("text", " "), 1).alias("value"))
+    return context.recalled(rendered, facts)
+
+
 def planted_probe(spark, sf_dir):
-    probes = _values(spark, PROBE, "id, fact, question, a, b").select("id", "fact", "question", F.array("a", "b").alias("filler"))
+    """The inline probes, and a probe about every benchmark passage."""
+    inline = _values(spark, PROBE, "id, fact, question, a, b").select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("id"), "fact", "question", F.array("a", "b").alias("filler"))
+    passages = read(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("fact"), F.lit("Which passage?").alias("question"), F.array(F.col("text")).alias("filler"))
+    probes = inline.unionByName(passages)
     return context.planted_probe(probes).select("conv_id", "turn", "role", "text")
 
 
@@ -149,8 +191,19 @@ def replay_recorded(spark, sf_dir):
     return replay.recorded(requests, requests.filter(F.col("conv_id") % 2 == 0)).select("conv_id", "turn", "key")
 
 
+def replay_answers(spark, sf_dir):
+    """Requests that were recorded, answered from the store under the replay backend."""
+    requests = _requests(spark, sf_dir)
+    store = requests.filter(F.col("conv_id") % 2 == 0).select("key", F.concat(F.lit("reply to "), F.col("key")).alias("text"))
+    return replay.dispatch(replay.recorded(requests, store), store, backend="replay").select("conv_id", "turn", "raw")
+
+
 def json_salvage(spark, sf_dir):
-    wrapped = F.concat(F.lit("Sure, here it is: "), F.col("props"), F.lit(" - done."))
+    """By event: a flat object, a nested one with a brace and quotes in a string, one inside a broken outer one, a truncated one, none."""
+    props, kind = F.col("props"), F.col("event_id") % 5
+    nested = F.concat(F.lit('{"a": {"b": "} \\" {"}, "in": '), props, F.lit("}"))
+    body = F.when(kind == 0, props).when(kind == 1, nested).when(kind == 2, F.concat(F.lit("{bad: "), props, F.lit("}"))).when(kind == 3, F.concat(F.lit('{"a": ['), props)).otherwise("[1, 2]")
+    wrapped = F.concat(F.lit("Sure, here it is: "), body, F.lit(" - done."))
     return read(spark, sf_dir, "events").select("event_id", tools.salvage(wrapped).alias("found"))
 
 
@@ -191,7 +244,7 @@ def hebrew_tokens(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
     words = _values(spark, WORDS, "word").select(F.col("word").alias("id"), F.concat(F.lit("שָׁלוֹם "), F.col("word")).alias("text"))
     tokens = txt.hebrew_tokens(txt.normalize(F.col("text")))
-    return rows.unionByName(words).select("id", F.size(tokens).alias("tokens"), F.array_join(F.slice(tokens, 1, 6), " ").alias("first"))
+    return rows.unionByName(words).select("id", F.size(tokens).alias("tokens"), F.array_join(tokens, " ").alias("all"))
 
 
 def segmentation_agreement(spark, sf_dir):
@@ -211,17 +264,17 @@ def html_rtl_lines(spark, sf_dir):
 
 
 def undefined_terms(spark, sf_dir):
-    """Words in back ticks, from the second turn of each conversation, that no first turn has."""
+    """Words of all turns but the first, put into back ticks, that no first turn has."""
     turns = _turns(spark, sf_dir)
-    ticked = turns.filter("turn = 1").select("conv_id", F.concat(F.lit("`"), F.element_at(F.split("text", " "), 1), F.lit("`")).alias("text"))
+    ticked = turns.filter("turn > 0").select("conv_id", F.regexp_replace("text", r"([^ \n`]+)", "`$1`").alias("text"))
     glossary = turns.filter("turn = 0").select(F.explode(txt.tokenize(F.col("text"))).alias("term"))
     return txt.undefined_terms(ticked, "conv_id", "text", glossary)
 
 
-QUERIES = {f.__name__: f for f in (yes_no_parse, score_parse, judge_agreement, holistic_summary, mean_score_by_truth, build_cases, pair_separation, conversation_render, prefix_cache, context_strategies, context_cost, planted_probe, fact_values, token_cost, language_token_ratio, replay_keys, replay_join_miss, replay_recorded, json_salvage, tool_validate, repair_summary, hebrew_prefix, fold_finals, hebrew_tokens, segmentation_agreement, html_error_scan, html_rtl_lines, undefined_terms)}
+QUERIES = {f.__name__: f for f in (yes_no_parse, score_parse, judge_agreement, holistic_summary, mean_score_by_truth, build_cases, judge_replay, paired_agreement, pair_separation, conversation_render, prefix_cache, context_strategies, context_cost, facts_recalled, planted_probe, fact_values, token_cost, language_token_ratio, replay_keys, replay_join_miss, replay_recorded, replay_answers, json_salvage, tool_validate, repair_summary, hebrew_prefix, fold_finals, hebrew_tokens, segmentation_agreement, html_error_scan, html_rtl_lines, undefined_terms)}
 
 _E = r"[^\p{L}\p{N}_]"
-_R = f"(VALUES {REPLIES}) v(id, text)"
+_R = f"(SELECT 'r' || id AS id, text FROM (VALUES {REPLIES}) v(id, text) UNION ALL SELECT conv_id || ':' || turn, text FROM conversations UNION ALL SELECT 'b' || item_id, text FROM benchmark)"
 
 
 def _at(words: str) -> str:
@@ -254,8 +307,17 @@ def _prefix(a: str, b: str) -> str:
     return f"coalesce(list_position(list_transform(range(1, least(length({a}), length({b})) + 1), lambda i: substr({a}, i, 1) <> substr({b}, i, 1)), true) - 1, least(length({a}), length({b})))"
 
 
-_KEY = """substr(sha256('{"messages":[{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":"user"}],"model":"demo-model","params":{"max_tokens":64,"seed":7,"temperature":0.0},"tools":null}'), 1, 16)"""
-_REQ = f"r AS (SELECT conv_id, turn, {_KEY} AS key FROM conversations WHERE role = 'user')"
+def _key(text: str) -> str:
+    return f"""substr(sha256('{{"messages":[{{"content":' || CAST(to_json({text}) AS VARCHAR) || ',"role":"user"}}],"model":"demo-model","params":{{"max_tokens":64,"seed":7,"temperature":0.0}},"tools":null}}'), 1, 16)"""
+
+
+def _prompt(prompt: str) -> str:
+    """A prompt with its {names} as columns, in SQL."""
+    parts = re.split(r"\{(\w+)\}", prompt)
+    return " || ".join(p if i % 2 else "'" + p.replace("'", "''") + "'" for i, p in enumerate(parts) if p)
+
+
+_REQ = f"r AS (SELECT conv_id, turn, {_key('text')} AS key FROM conversations WHERE role = 'user')"
 
 
 def _strip_sql(w: str) -> str:
@@ -275,20 +337,24 @@ SQL = {
     "judge_agreement": f"WITH {_JUDGED} SELECT count(verdict) AS n, count(*) - count(verdict) AS undecided, round(count(*) FILTER (verdict = truth) / greatest(count(verdict), 1)::DOUBLE, 6) AS accuracy, round(count(*) FILTER (verdict) / greatest(count(verdict), 1)::DOUBLE, 6) AS said_yes, round(count(*) FILTER (verdict AND NOT truth) / greatest(count(*) FILTER (verdict IS NOT NULL AND NOT truth), 1)::DOUBLE, 6) AS false_positive, round(count(*) FILTER (NOT verdict AND truth) / greatest(count(*) FILTER (verdict IS NOT NULL AND truth), 1)::DOUBLE, 6) AS false_negative FROM j",
     "holistic_summary": f"WITH {_JUDGED} SELECT count(*) AS n, round(count(*) FILTER (score >= 4) / greatest(count(*), 1)::DOUBLE, 6) AS called_good, round(count(*) FILTER (score >= 4 AND NOT truth) / greatest(count(*) FILTER (NOT truth), 1)::DOUBLE, 6) AS called_good_when_fact_lost, coalesce(round(avg(score), 6), 0) AS mean FROM j WHERE score IS NOT NULL",
     "mean_score_by_truth": f"WITH {_JUDGED}, a AS (SELECT round(avg(score) FILTER (truth), 6) AS kept, round(avg(score) FILTER (NOT truth), 6) AS lost FROM j) SELECT kept, lost, round(kept - lost, 6) AS gap FROM a",
-    "build_cases": f"WITH {_CASE} SELECT question, variant, contains({_SQUEEZE.format(t='answer')}, {_SQUEEZE.format(t='fact')}) AS truth, CAST({len(judge.HOLISTIC_PROMPT) - 18} + length(question) + length(answer) AS INTEGER) AS holistic_chars, CAST({len(judge.BINARY_PROMPT) - 29} + length(question) + length(answer) + length(criterion) AS INTEGER) AS binary_chars FROM v",
+    "build_cases": f"WITH {_CASE} SELECT question, variant, contains({_SQUEEZE.format(t='answer')}, {_SQUEEZE.format(t='fact')}) AS truth, sha256({_prompt(judge.HOLISTIC_PROMPT)}) AS holistic_prompt, sha256({_prompt(judge.BINARY_PROMPT)}) AS binary_prompt FROM v",
+    "judge_replay": f"WITH {_CASE} SELECT question, variant, 'binary' AS judge, {_key(_prompt(judge.BINARY_PROMPT))} AS key, CASE variant WHEN 'kept' THEN 'true' END AS verdict FROM v UNION ALL SELECT question, variant, 'holistic', {_key(_prompt(judge.HOLISTIC_PROMPT))}, CASE variant WHEN 'kept' THEN '5' ELSE '2' END FROM v",
+    "paired_agreement": "SELECT count(*) AS n, 0 AS undecided, round(avg(CASE WHEN (quality = 1) = (toxic = 0) THEN 1 ELSE 0 END), 6) AS accuracy, round(avg(quality), 6) AS said_yes, round(count(*) FILTER (quality = 1 AND toxic = 1) / greatest(count(*) FILTER (toxic = 1), 1)::DOUBLE, 6) AS false_positive, round(count(*) FILTER (quality = 0 AND toxic = 0) / greatest(count(*) FILTER (toxic = 0), 1)::DOUBLE, 6) AS false_negative FROM labels",
     "pair_separation": f"WITH {_CASE} SELECT count(*) AS pairs, count(*) FILTER (kept_score > lost_score) AS holistic, count(*) FILTER (kept_yes AND NOT coalesce(lost_yes, false)) AS binary FROM c",
     "conversation_render": f"SELECT conv_id, {_LINES} AS rendered FROM conversations GROUP BY conv_id",
     "prefix_cache": f"WITH {_RENDERED} SELECT conv_id, strategy, CAST({_prefix('bs', 'after')} AS INTEGER) AS prefix, starts_with(after, bs) AS stable, round(CASE WHEN bs = '' THEN 1.0::DOUBLE ELSE {_prefix('bs', 'after')} / length(bs)::DOUBLE END, 6) AS ratio_same, round(CASE WHEN bp = '' THEN 1.0::DOUBLE ELSE {_prefix('bp', 'after')} / length(bp)::DOUBLE END, 6) AS ratio_plain FROM x",
     "context_strategies": f"WITH t AS (SELECT conv_id, turn, role, text FROM conversations), {_strategy_ctes('t', 4, 'k')}, c AS (SELECT strategy, CAST(sum(length(rendered)) AS BIGINT) AS chars FROM kr GROUP BY strategy) SELECT strategy, chars, round(1 - chars / (SELECT chars FROM c WHERE strategy = 'keep_all')::DOUBLE, 6) AS saved FROM c",
     "context_cost": f"WITH {_RENDERED} SELECT conv_id, strategy, round((length(after) - {_prefix('bs', 'after')}) * (0.003::DOUBLE / 1000 / 4) + {_prefix('bs', 'after')} * (0.003::DOUBLE / 1000 / 4) * 0.1::DOUBLE, 9) AS cost FROM x",
-    "planted_probe": f"WITH p AS (SELECT * FROM (VALUES {PROBE}) v(id, fact, question, a, b)) " + " UNION ALL ".join(f"SELECT id AS conv_id, CAST({k} AS BIGINT) AS turn, '{role}' AS role, {text} AS text FROM p" for k, (role, text) in enumerate([("user", "fact"), ("assistant", "'הבנתי.'"), ("tool", "a"), ("assistant", "'בסדר.'"), ("tool", "b"), ("assistant", "'בסדר.'"), ("user", "question")])),
+    "facts_recalled": f"WITH t AS (SELECT conv_id, turn, role, text FROM conversations), {_strategy_ctes('t', 2, 'k')}, w AS (SELECT conv_id, lower(string_split(text, ' ')[1]) AS value FROM t WHERE turn = 0) SELECT strategy, count(*) AS probes, count(*) FILTER (contains(lower(rendered), value) AND value <> '') AS recalled FROM kr JOIN w USING (conv_id) GROUP BY strategy",
+    "planted_probe": f"WITH p AS (SELECT 'p' || id AS id, fact, question, [a, b] AS filler FROM (VALUES {PROBE}) v(id, fact, question, a, b) UNION ALL SELECT CAST(item_id AS VARCHAR), text, 'Which passage?', [text] FROM benchmark), s AS (SELECT id AS conv_id, unnest(list_concat([['user', fact], ['assistant', 'הבנתי.']], flatten(list_transform(filler, lambda f: [['tool', f], ['assistant', 'בסדר.']])), [['user', question]])) AS x, generate_subscripts(list_concat([['user', fact], ['assistant', 'הבנתי.']], flatten(list_transform(filler, lambda f: [['tool', f], ['assistant', 'בסדר.']])), [['user', question]]), 1) AS k FROM p) SELECT conv_id, CAST(k - 1 AS BIGINT) AS turn, x[1] AS role, x[2] AS text FROM s",
     "fact_values": f"SELECT id, lower(regexp_extract(fact, 'is ([A-Za-z0-9#\\-]+(?: [A-Za-z]+)?)\\.', 1)) AS value FROM (VALUES {PROBE}) v(id, fact, question, a, b)",
     "token_cost": f"WITH s AS (SELECT lang, CAST(sum(length(text)) AS BIGINT) AS characters, CAST(sum(len(regexp_extract_all(text, '{WORD}'))) AS BIGINT) AS words, CAST(sum(len(regexp_extract_all(text, '[^\\s]{{1,4}}'))) AS BIGINT) AS tokens FROM documents GROUP BY lang) SELECT *, round(coalesce(tokens / nullif(words, 0)::DOUBLE, 0), 6) AS tokens_per_word, round(coalesce(characters / nullif(tokens, 0)::DOUBLE, 0), 6) AS characters_per_token FROM s",
     "language_token_ratio": "WITH n AS (SELECT lang, len(regexp_extract_all(text, '[^\\s]{1,4}')) AS n FROM documents) SELECT round(sum(CASE WHEN lang = 'de' THEN n ELSE 0 END) / greatest(sum(CASE WHEN lang = 'en' THEN n ELSE 0 END), 1)::DOUBLE, 6) AS ratio FROM n",
     "replay_keys": f"WITH {_REQ} SELECT * FROM r",
     "replay_join_miss": f"WITH {_REQ} SELECT * FROM r WHERE key NOT IN (SELECT key FROM r WHERE conv_id % 2 = 0)",
     "replay_recorded": f"WITH {_REQ} SELECT * FROM r WHERE key IN (SELECT key FROM r WHERE conv_id % 2 = 0)",
-    "json_salvage": "SELECT event_id, regexp_extract('Sure, here it is: ' || props || ' - done.', '\\{[^{}]*\\}') AS found FROM events",
+    "replay_answers": f"WITH {_REQ} SELECT conv_id, turn, 'reply to ' || key AS raw FROM r WHERE key IN (SELECT key FROM r WHERE conv_id % 2 = 0)",
+    "json_salvage": """SELECT event_id, CASE event_id % 5 WHEN 1 THEN '{"a": {"b": "} \\" {"}, "in": ' || props || '}' WHEN 4 THEN NULL ELSE props END AS found FROM events""",
     "tool_validate": f"SELECT event_id, {_FEEDBACK} = '' AS ok, {_FEEDBACK} AS feedback, {_FEEDBACK} = '' AND m <> 3 AS strict_ok FROM (SELECT *, event_id % 10 AS m FROM events)",
     "repair_summary": f"WITH {_TASK}, t AS (SELECT m <> 0 AS ok, CASE m WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 4 THEN 2 ELSE 1 END AS tries FROM e) SELECT count(*) AS n, round(avg(CASE WHEN ok AND tries = 1 THEN 1 ELSE 0 END), 6) AS first_try, round(avg(CASE WHEN ok THEN 1 ELSE 0 END), 6) AS eventually, round(avg(CASE WHEN ok THEN 0 ELSE 1 END), 6) AS never, round(avg(tries), 6) AS mean_tries FROM t",
     "hebrew_prefix": f"SELECT word, {_strip_sql('word')} AS pieces FROM (VALUES {WORDS}) v(word)",
@@ -296,5 +362,5 @@ SQL = {
     "segmentation_agreement": f"WITH s AS (SELECT {_strip_sql('word')} = coalesce(prefix || '+', '') || stem AS same FROM (VALUES {SEGMENTS}) v(word, prefix, stem)) SELECT count(*) AS total, count(*) FILTER (same) AS agree, round(count(*) FILTER (same) / count(*)::DOUBLE, 6) AS rate FROM s",
     "html_error_scan": "SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '\\b([A-Z][A-Za-z]*(?:Error|Exception)):', 1))), ',') AS errors, CAST(len(regexp_extract_all(html, '<li>')) AS INTEGER) AS items, CAST(len(regexp_extract_all(html, '<script')) AS INTEGER) AS scripts FROM pages",
     "html_rtl_lines": "WITH l AS (SELECT page_id, unnest(string_split(regexp_replace(html, '<[^>]*>', chr(10), 'g'), chr(10))) AS line FROM pages) SELECT page_id, count(*) AS lines, count(*) FILTER (regexp_matches(line, '^\\s*[A-Za-z]')) AS latin, count(*) FILTER (regexp_matches(line, '^\\s*[\\d.,%]+\\s*$')) AS figures FROM l GROUP BY page_id",
-    "undefined_terms": f"WITH g AS (SELECT DISTINCT regexp_replace(unnest(regexp_extract_all(lower(text), '{WORD}')), 's$', '') AS part FROM conversations WHERE turn = 0), t AS (SELECT DISTINCT conv_id, string_split(text, ' ')[1] AS term FROM conversations WHERE turn = 1), p AS (SELECT conv_id, term, regexp_replace(unnest(regexp_extract_all(lower(term), '{WORD}')), 's$', '') AS part FROM t WHERE term <> '') SELECT DISTINCT conv_id, term FROM p WHERE part NOT IN (SELECT part FROM g)",
+    "undefined_terms": f"WITH g AS (SELECT DISTINCT regexp_replace(unnest(regexp_extract_all(lower(text), '{WORD}')), 's$', '') AS part FROM conversations WHERE turn = 0), t AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(text, '[^ \n`]+')) AS term FROM conversations WHERE turn > 0), p AS (SELECT conv_id, term, regexp_replace(unnest(regexp_extract_all(lower(term), '{WORD}')), 's$', '') AS part FROM t) SELECT DISTINCT conv_id, term FROM p WHERE part NOT IN (SELECT part FROM g)",
 }

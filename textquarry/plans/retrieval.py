@@ -88,22 +88,44 @@ def failed_retrieval_curve(spark, sf_dir):
     return metrics.relative_cut(per_k, "k", "failed", 1).withColumn("cut", F.round("cut", 6))
 
 
+def _as_items(chunks):
+    """Chunks under their place: (doc_id, index) names a chunk and orders by document, then place."""
+    return chunks.select(F.struct("doc_id", "index").alias("chunk"), "text")
+
+
 def _chunk_ranked(chunks, queries, k=40):
-    # a chunk's id orders by document, then place
-    ided = chunks.withColumn("chunk_id", F.col("doc_id") * 100000 + F.col("index"))
-    hits = lexical.search(ided, queries, k, id_col="chunk_id").withColumnRenamed("doc_id", "chunk_id")
-    return hits.withColumn("doc_id", F.floor(F.col("chunk_id") / 100000))
+    """(query_id, chunk, score, rank) by BM25."""
+    return lexical.search(_as_items(chunks), queries, k, id_col="chunk").withColumnRenamed("doc_id", "chunk")
+
+
+def _chunk_nearest(chunks, queries, k=40):
+    """(query_id, chunk, score, rank) by cosine of the stand-in encoder's vectors."""
+    coded = lambda df, name: df.select(F.col(name).alias("id"), dense.hashed_vector(F.col("text")).alias("v"))
+    return dense.cosine_search(coded(queries, "query_id"), coded(_as_items(chunks), "chunk"), k, "id", "v").withColumnRenamed("doc_id", "chunk")
+
+
+def _documents(ranked):
+    return fusion.to_documents(ranked.withColumn("doc_id", F.col("chunk.doc_id")))
+
+
+def _small_chunks(docs):
+    return chunking.chunks(docs, "fixed", size=200, overlap=40)
 
 
 def bm25_chunked_docs(spark, sf_dir):
     docs, queries = _base(spark, sf_dir)
-    return fusion.to_documents(_chunk_ranked(chunking.chunks(docs, "fixed", size=200, overlap=40), queries))
+    return _documents(_chunk_ranked(_small_chunks(docs), queries))
 
 
 def contextual_bm25(spark, sf_dir):
     docs, queries = _base(spark, sf_dir)
-    chunks = chunking.contextualised(chunking.chunks(docs, "fixed", size=200, overlap=40), docs, "source")
-    return fusion.to_documents(_chunk_ranked(chunks, queries))
+    return _documents(_chunk_ranked(chunking.contextualised(_small_chunks(docs), docs, "source"), queries))
+
+
+def dense_topk(spark, sf_dir):
+    """Chunks by vector, then the documents of the 40 nearest."""
+    docs, queries = _base(spark, sf_dir)
+    return _documents(_chunk_nearest(_small_chunks(docs), queries))
 
 
 def keyword_retriever(spark, sf_dir):
@@ -137,17 +159,19 @@ def contains_fact_pairs(spark, sf_dir):
 
 
 def _dense(spark, sf_dir, k=40):
+    """The stated query set, every row whose vec_id is divisible by 20, against all rows."""
     vectors = read(spark, sf_dir, "embeddings")
-    return vectors, dense.cosine_search(vectors.filter(F.col("vec_id") < 20), vectors, k, but_self=True)
+    asked = vectors.filter(F.col("vec_id") % 20 == 0)
+    return vectors, asked, dense.cosine_search(asked, vectors, k, but_self=True)
 
 
 def cosine_topk(spark, sf_dir):
-    return _dense(spark, sf_dir, 10)[1].select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return _dense(spark, sf_dir, 10)[2].select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 def dense_eval(spark, sf_dir):
-    vectors, ranked = _dense(spark, sf_dir)
-    q = vectors.filter(F.col("vec_id") < 20).select(F.col("vec_id").alias("query_id"), F.col("label").alias("l"))
+    vectors, asked, ranked = _dense(spark, sf_dir)
+    q = asked.select(F.col("vec_id").alias("query_id"), F.col("label").alias("l"))
     qrels = vectors.join(q, vectors["label"] == q["l"]).filter("vec_id <> query_id").select("query_id", F.col("vec_id").alias("doc_id"))
     return metrics.evaluate(ranked, qrels, q, 3)
 
@@ -161,13 +185,11 @@ def rrf_fusion(spark, sf_dir):
 
 
 def hybrid_topk(spark, sf_dir):
-    """BM25 with a second ranking of the same pairs by nearness of length to the passage."""
+    """Dense and lexical rankings of the chunks, 40 each, fused on the chunks, then collapsed to documents."""
     docs, queries = _base(spark, sf_dir)
-    scored = lexical.scores(docs, lexical.query_terms(queries, "query_id", "text"))
-    sized = scored.join(docs.select("doc_id", F.length("text").alias("n")), "doc_id").join(queries.select("query_id", F.length("text").alias("m")), "query_id")
-    near = lexical.top(sized.select("query_id", "doc_id", (-F.abs(F.col("n") - F.col("m"))).cast("double").alias("score")), 40)
-    fused = fusion.hybrid(near, lexical.top(scored, 40))
-    return fused.filter(F.col("rank") <= 10).withColumn("score", F.round("score", 9))
+    chunks = _small_chunks(docs)
+    fused = fusion.rrf([_chunk_nearest(chunks, queries), _chunk_ranked(chunks, queries)], item="chunk")
+    return _documents(fused).filter(F.col("rank") <= 10)
 
 
 def _shared_words(query, text):
@@ -204,11 +226,22 @@ def kind_histogram(spark, sf_dir):
 def best_by_group(spark, sf_dir):
     """The source with the longest documents on average, per language."""
     means = read(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.round(F.avg("n_chars"), 6).alias("mean"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("mean"), "source"))
-    return means.withColumn("r", rank).filter("r = 1").select("lang", F.col("source").alias("best"), "mean")
+    return metrics.best_by(means, "mean", "source", ["lang"])
+
 
+def context_to_passage(spark, sf_dir):
+    from ..sources.corpus import passage_index
 
-QUERIES = {f.__name__: f for f in (tokenize_counts, term_stats, bm25_topk, bm25_eval, bm25_eval_by_lang, ranking_metrics_long, failed_retrieval_curve, bm25_chunked_docs, contextual_bm25, keyword_retriever, chunk_fixed, chunk_recursive, chunk_by_structure, chunk_length_stats, contains_fact_pairs, cosine_topk, dense_eval, rrf_fusion, hybrid_topk, rerank_shortlist, first_n_distinct, dangling_refs, duplicate_ids, kind_histogram, best_by_group)}
+    return passage_index(read(spark, sf_dir, "documents"), "text", "doc_id")
+
+
+def kinds_present(spark, sf_dir):
+    """The distinct kinds in order, each with its place and whether it has at least 50 documents."""
+    kinds = read(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+    return kinds.select("lang", F.row_number().over(Window.orderBy("lang")).alias("place"), (F.col("n") >= 50).alias("enough"))
+
+
+QUERIES = {f.__name__: f for f in (tokenize_counts, term_stats, bm25_topk, bm25_eval, bm25_eval_by_lang, ranking_metrics_long, failed_retrieval_curve, bm25_chunked_docs, contextual_bm25, keyword_retriever, chunk_fixed, chunk_recursive, chunk_by_structure, chunk_length_stats, contains_fact_pairs, cosine_topk, dense_topk, dense_eval, context_to_passage, kinds_present, rrf_fusion, hybrid_topk, rerank_shortlist, first_n_distinct, dangling_refs, duplicate_ids, kind_histogram, best_by_group)}
 
 _W, _S = r"[\p{L}\p{N}_]+", r"[^\s]+"
 
@@ -257,13 +290,32 @@ def _fixed_sql(size: int, overlap: int, where: str = "documents") -> str:
     return f"(SELECT doc_id, source, CAST(i AS INTEGER) AS index, CAST(i * {step} AS INTEGER) AS start, CAST(least(i * {step} + {size}, length(text)) AS INTEGER) AS \"end\", substr(text, CAST(i * {step} + 1 AS BIGINT), {size}) AS text FROM (SELECT doc_id, source, text, unnest(range(0, {last} + 1)) AS i FROM {where} WHERE length(text) > 0))"
 
 
+_HASHED = """list_transform(range(0, 64), lambda i: CAST(len(list_filter(list_transform({t}, lambda t: CAST('0x' || substr(md5(t), 1, 2) AS INTEGER) % 64), lambda b: b = i)) AS DOUBLE))"""
+
+
+def _chunk_cte(text: str = "text") -> str:
+    return f"ch AS (SELECT struct_pack(d := doc_id, i := index) AS doc_id, {text} AS text FROM {_fixed_sql(200, 40)})"
+
+
+def _collapsed(top: str) -> str:
+    return f"""f AS (SELECT query_id, doc_id.d AS doc_id, min(rank) AS first FROM {top} GROUP BY ALL),
+o AS (SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY first) AS INTEGER) AS rank FROM f)"""
+
+
 def _chunked(text: str) -> str:
-    return f"""WITH ch AS (SELECT doc_id * 100000 + index AS doc_id, {text} AS text FROM {_fixed_sql(200, 40)}), {_bm25_ctes('ch')},
-f AS (SELECT query_id, CAST(floor(doc_id / 100000) AS BIGINT) AS doc_id, min(rank) AS first FROM top GROUP BY ALL)
-SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY first) AS INTEGER) AS rank FROM f"""
+    return f"WITH {_chunk_cte(text)}, {_bm25_ctes('ch')}, {_collapsed('top')} SELECT * FROM o"
+
+
+def _near_ctes() -> str:
+    """dtop: the chunks nearest to each query; a chunk without words scores -1, a query without any 0."""
+    norm = lambda a: f"sqrt(list_sum(list_transform({a}.v, lambda x: x * x)))"
+    return f"""cv AS (SELECT doc_id, {_HASHED.format(t=_tokens('text'))} AS v FROM ch), qv AS (SELECT item_id AS query_id, {_HASHED.format(t=_tokens('text'))} AS v FROM benchmark),
+cn AS (SELECT doc_id, v, {norm('cv')} AS n FROM cv), qn AS (SELECT query_id, v, {norm('qv')} AS n FROM qv),
+ds AS (SELECT query_id, doc_id, round(CASE WHEN c.n = 0 THEN -1 WHEN q.n = 0 THEN 0 ELSE list_inner_product(q.v, c.v) / (q.n * c.n) END, 9) AS score FROM qn q, cn c),
+dtop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ds) WHERE rank <= 40)"""
 
 
-_DENSE = """s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings d WHERE q.vec_id < 20 AND q.vec_id <> d.vec_id),
+_DENSE = """s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings d WHERE q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id),
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 40)"""
 
 SQL = {
@@ -281,9 +333,12 @@ SQL = {
     "chunk_length_stats": " UNION ALL ".join(f"SELECT 'fixed_{s}' AS strategy, count(*) AS chunks, CAST(min(length(text)) AS INTEGER) AS shortest, CAST(quantile_cont(length(text), 0.5) AS DOUBLE) AS median, round(avg(length(text)), 6) AS mean, CAST(max(length(text)) AS INTEGER) AS longest FROM {_fixed_sql(s, o)}" for s, o in ((200, 40), (400, 50))),
     "contains_fact_pairs": f"WITH {_QRELS} SELECT query_id, doc_id FROM qrels",
     "cosine_topk": f"WITH {_DENSE} SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM top WHERE rank <= 10",
-    "dense_eval": f"WITH {_DENSE}, qrels AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id FROM embeddings q JOIN embeddings d ON q.label = d.label AND q.vec_id <> d.vec_id WHERE q.vec_id < 20), {_metric_ctes('top', '(SELECT vec_id AS query_id FROM embeddings WHERE vec_id < 20)', '(3)')} SELECT {_SUMMARY} FROM m",
+    "dense_eval": f"WITH {_DENSE}, qrels AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id FROM embeddings q JOIN embeddings d ON q.label = d.label AND q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0), {_metric_ctes('top', '(SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 20 = 0)', '(3)')} SELECT {_SUMMARY} FROM m",
     "rrf_fusion": f"WITH {_bm25_ctes('documents')}, {_bm25_ctes('documents', 'w', _S)}, f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (SELECT query_id, doc_id, rank FROM top UNION ALL SELECT query_id, doc_id, rank FROM wtop) GROUP BY ALL) SELECT query_id, doc_id, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM f",
-    "hybrid_topk": f"WITH {_bm25_ctes('documents')}, n AS (SELECT * FROM (SELECT query_id, sc.doc_id, row_number() OVER (PARTITION BY query_id ORDER BY abs(length(d.text) - length(b.text)), sc.doc_id) AS rank FROM sc JOIN documents d ON d.doc_id = sc.doc_id JOIN benchmark b ON b.item_id = sc.query_id WHERE score > 0) WHERE rank <= 40), f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (SELECT query_id, doc_id, rank FROM top UNION ALL SELECT query_id, doc_id, rank FROM n) GROUP BY ALL), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM f) SELECT query_id, doc_id, round(score, 9) AS score, rank FROM r WHERE rank <= 10",
+    "dense_topk": f"WITH {_chunk_cte()}, {_near_ctes()}, {_collapsed('dtop')} SELECT * FROM o",
+    "hybrid_topk": f"WITH {_chunk_cte()}, {_bm25_ctes('ch')}, {_near_ctes()}, u AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (SELECT query_id, doc_id, rank FROM top UNION ALL SELECT query_id, doc_id, rank FROM dtop) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM u), {_collapsed('r')} SELECT * FROM o WHERE rank <= 10",
+    "context_to_passage": "SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY text) AS passage FROM documents",
+    "kinds_present": "SELECT lang, CAST(row_number() OVER (ORDER BY lang) AS INTEGER) AS place, count(*) >= 50 AS enough FROM documents GROUP BY lang",
     "rerank_shortlist": f"WITH {_bm25_ctes('documents', k=20)}, s AS (SELECT query_id, top.doc_id, rank AS base, CAST(len(list_intersect({_tokens('b.text')}, {_tokens('d.text')})) AS DOUBLE) AS score FROM top JOIN documents d ON d.doc_id = top.doc_id JOIN benchmark b ON b.item_id = top.query_id) SELECT query_id, doc_id, score, rank FROM (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, base) AS INTEGER) AS rank FROM s) WHERE rank <= 5",
     "first_n_distinct": "SELECT doc_id, source FROM documents WHERE source IN (SELECT source FROM documents GROUP BY source ORDER BY min(doc_id) LIMIT 5)",
     "dangling_refs": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",

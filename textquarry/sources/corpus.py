@@ -71,6 +71,13 @@ def first_distinct(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
     return rows.join(first.select(key), key, "left_semi")
 
 
+def passage_index(contexts: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """(id, passage): each context's passage, which is the smallest id that has the same text; joined by the text's SHA-256."""
+    hashed = contexts.select(F.col(id_col).alias("id"), F.sha2(F.col(text_col).cast("binary"), 256).alias("digest"))
+    passages = hashed.groupBy("digest").agg(F.min("id").alias("passage"))
+    return hashed.join(passages, "digest").select("id", "passage")
+
+
 def dangling(references: DataFrame, targets: DataFrame, on: str) -> DataFrame:
     return references.join(targets.select(on), on, "left_anti")
 
