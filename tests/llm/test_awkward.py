@@ -406,7 +406,11 @@ def test_pipeline_stages_against_plain_versions(spark, tmp_path):
     taken = collections.Counter()
     for r in after:
         taken[r.source] += words(r.text)
-    assert all(abs(taken[s] - target[s]) <= 0.1 * target[s] for s in order)  # some ten documents a source
+    for s in order:  # some ten documents a source, of very unequal sizes: where the miss is large, no other one document makes it smaller
+        miss, mine = abs(taken[s] - target[s]), [r for r in before if r.source == s]
+        copies, whole = shown(after), int(target[s] // sizes[s])
+        left = [words(r.text) for r in mine if copies[r.doc_id, r.text] <= whole]
+        assert miss <= 0.1 * target[s] or all(abs(taken[s] + w - target[s]) >= miss for w in left), (s, taken[s], target[s])
     assert all(n <= 3 * shown(before)[k] for k, n in shown(after).items())
 
     before, after = seen["packing"]
