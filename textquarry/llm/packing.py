@@ -11,7 +11,7 @@ of tokens; a block's last window is not closed but opens the next block, so that
 of a partition can be short. sequence_id holds the partition and the window's number there.
 
 Words are tokenised once and remembered: white space always ends a token, so a text's ids are its
-words' ids one after another. The memory is cleared at WORDS_KEPT words.
+words' ids one after another. The memory is cleared once it holds more than WORDS_KEPT words.
 
 Defined results: a null or empty text is only the end token; a null doc_id stays null and every other one
 is kept to the last digit; a text longer than a window is cut like any other; repeated rows are packed
@@ -43,6 +43,18 @@ _TOGETHER = 500
 _BEYOND = re.compile("[^\x00-\u02ff]")
 
 
+class _Numbers(dict):
+    """Word to its number; a new word gets the next one and is noted in `fresh`."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class WordTokenizer:
     """Ids of whole texts through a memory of words."""
 
@@ -57,80 +69,77 @@ class WordTokenizer:
         self._clear()
 
     def _clear(self):
-        self.number: dict[str, int] = {}
-        self.ids, self.used, self.words = np.zeros(1 << 16, np.uint32), 0, 0
+        self.number = _Numbers()
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.at, self.size, self.ends = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, bool)
 
-    def _store(self, words: list[str], ids: np.ndarray, sizes: np.ndarray):
-        k, n, used = self.words, len(words), self.used
-        while k + n > len(self.at):
-            self.at, self.size, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.ends))
+    def _store(self, numbers: np.ndarray, ids: np.ndarray, sizes: np.ndarray):
+        used = self.used
         while used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[used : used + len(ids)] = ids
-        self.at[k : k + n], self.size[k : k + n] = used + np.cumsum(sizes) - sizes, sizes
-        self.ends[k : k + n] = [w.rstrip(_CLOSING)[-1:] in _STOPS if w else False for w in words]
-        self.number.update(zip(words, range(k, k + n)))
-        self.words, self.used = k + n, used + len(ids)
+        self.at[numbers], self.size[numbers] = used + np.cumsum(sizes) - sizes, sizes
+        self.used = used + len(ids)
 
     def _gathered(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of stored words one after another, and their sizes."""
         sizes = self.size[k]
         after = np.cumsum(sizes)
-        return self.ids[np.repeat(self.at[k] - after + sizes, sizes) + np.arange(after[-1] if len(k) else 0)], sizes
+        shift = np.repeat((self.at[k] - after + sizes).astype(np.int32), sizes)
+        shift += np.arange(len(shift), dtype=np.int32)
+        return self.ids[shift], sizes
 
-    def _learn(self, words: set[str]):
+    def _learn(self):
         """Words of letters go to the tokenizer many at a time: each ends with an id that closes a word.
 
         Letters with ASCII marks behind them are their letters' ids and then the marks' ids, unless lower case
         adds a mark of its own to a letter.
         """
-        joined, plain = [], set()
-        for word in words:
+        number, fresh = self.number, self.number.fresh
+        letters, alone, joined, pieces = [], [], [], []
+        for word in fresh:  # grows by the letters and the marks that are new themselves
+            if word.isalpha():
+                letters.append(word)
+                continue
             core = word.rstrip(_MARKS)
             if core != word and core.isalpha() and len(core.lower()) == len(core):
-                joined.append((word, core, word[len(core) :]))
-                plain.update((core, word[len(core) :]))
+                joined.append(number[word])
+                pieces += number[core], number[word[len(core) :]]
             else:
-                plain.add(word)
-        fresh = plain.difference(self.number)
-        letters = [w for w in fresh if w.isalpha()]
+                alone.append(word)
+        while len(number) > len(self.at):
+            self.at, self.size, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size, self.ends))
+        self.ends[[number[w] for w in fresh if w and w.rstrip(_CLOSING)[-1:] in _STOPS]] = True
+        number.fresh = []
         groups = [letters[i : i + _TOGETHER] for i in range(0, len(letters), _TOGETHER)]
-        alone = [w for w in fresh if not w.isalpha()]
         for group, got in zip(groups, self.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(got.ids, np.uint32)
             sizes = np.diff(np.flatnonzero(self.closes[ids]), prepend=-1)
             if len(sizes) == len(group):
-                self._store(group, ids, sizes)
+                self._store(self._numbered(group), ids, sizes)
             else:  # some letters are composed of several
                 alone += group
         apart = [got.ids for got in self.encode_batch(alone, add_special_tokens=False)]
-        self._store(alone, np.array([i for ids in apart for i in ids], np.uint32), np.array([len(ids) for ids in apart], np.int64))
-        pieces = np.array([self.number[x] for _, core, marks in joined for x in (core, marks)], np.int64)
-        ids, sizes = self._gathered(pieces)
-        self._store([w for w, _, _ in joined], ids, sizes.reshape(-1, 2).sum(axis=1))
+        self._store(self._numbered(alone), np.array([i for ids in apart for i in ids], np.uint32), np.array([len(ids) for ids in apart], np.int64))
+        ids, sizes = self._gathered(np.array(pieces, np.int64))
+        self._store(np.array(joined, np.int64), ids, sizes.reshape(-1, 2).sum(axis=1))
+
+    def _numbered(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
     def encode_all(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Each text's ids and the places after which a sentence ends; new words of all texts are learned at once."""
+        if len(self.number) > self.kept:
+            self._clear()
         # below U+0300 nothing combines, so lower case can come before composition
         words = [(t if _BEYOND.search(t) else t.lower()).replace("\n", " ").split(" ") for t in texts]
-        known = [list(map(self.number.get, some)) for some in words]
-        fresh = {w for some, k in zip(words, known) if None in k for w, i in zip(some, k) if i is None}
-        if fresh:
-            cleared = self.words + 2 * len(fresh) > self.kept
-            if cleared:
-                self._clear()
-                fresh = set().union(*words)
-            self._learn(fresh)
-            known = [list(map(self.number.get, some)) if cleared or None in k else k for some, k in zip(words, known)]
+        numbers = [self._numbered(some) for some in words]
+        if self.number.fresh:
+            self._learn()
         out = []
-        for some in known:
-            k = np.array(some, np.int64)
-            sizes = self.size[k]
-            after = np.cumsum(sizes)
-            shift = np.repeat((self.at[k] - after + sizes).astype(np.int32), sizes)
-            shift += np.arange(len(shift), dtype=np.int32)
-            out.append((self.ids[shift], after[self.ends[k]]))
+        for k in numbers:
+            ids, sizes = self._gathered(k)
+            out.append((ids, np.cumsum(sizes)[self.ends[k]]))
         return out
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +190,7 @@ def _solve(docs: list[tuple], window: int) -> list[int]:
     places, penalties, base = [0], [0.0], 0
     for _, ids, first, ends in docs:
         n = len(ids) - first
-        inner = [int(e) - first for e in ends if first < e < len(ids)]
+        inner = (ends[(ends > first) & (ends < len(ids))] - first).tolist()
         for p, cost in [*((e, SENTENCE_PENALTY) for e in inner), (n, 0)]:
             p += base
             while p - places[-1] > HARD_STEP:
