@@ -124,6 +124,19 @@ def test_cosine_against_a_plain_version(spark, monkeypatch, block):
         dense.cosine_search(df, df, 0)
 
 
+@pytest.mark.parametrize("rows, columns, k", [(7, 50, 5), (3, 4, 4), (5, 40, 1), (4, 30, 29)])
+def test_largest_is_a_stable_sort_cut_at_k(rows, columns, k):
+    import numpy as np
+
+    from textquarry.operators.dense import _largest
+
+    worth = np.random.default_rng(1).integers(0, 4, (rows, columns)).astype(float)
+    worth[0, :3] = -np.inf
+    row, column = _largest(worth, k)
+    assert (row == np.repeat(np.arange(rows), k)).all()
+    assert (column.reshape(rows, k) == np.argsort(-worth, axis=1, kind="stable")[:, :k]).all()
+
+
 def test_vectors_of_other_lengths_and_nan(spark):
     docs = spark.createDataFrame([(0, [1.0, float("nan")]), (1, [1.0, 0.0]), (2, None)], "vec_id int, embedding array<double>")
     q = spark.createDataFrame([(9, [1.0, 1.0])], "vec_id int, embedding array<double>")
