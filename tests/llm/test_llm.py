@@ -117,6 +117,32 @@ def test_simhash_lists_longer_than_a_task_takes(spark, longest):
     assert groups(lambda f: want[f]) == groups(lambda f: found.get(signed(f), signed(f)))
 
 
+def test_simhash_joins_never_gather_the_corpus_at_the_driver(spark, monkeypatch):
+    plans, write = [], common.durable
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df)
+
+    for module in (simhash, common):
+        monkeypatch.setattr(module, "durable", noted)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 1, raising=False)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join([*words[:at], "other", *words[at:]]) for at in range(0, 300, 50)] + [" ".join(words[::-1]), "alone", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = simhash.classes(docs)
+    plans.append(made._jdf.queryExecution().optimizedPlan().toString())
+    want = brute_components({brute_fingerprint(t) for t in texts})
+    least = {}
+    for i, t in enumerate(texts):
+        least.setdefault(want[brute_fingerprint(t)], i)
+    assert len(least) < len(texts) - 2
+    assert {r.doc_id: r.component_id for r in made.collect()} == {i: least[want[brute_fingerprint(t)]] for i, t in enumerate(texts)}
+    assert {r.doc_id for r in simhash.deduplicated(docs).collect()} == set(least.values())
+    joins = [line for plan in plans for line in plan.split("\n") if re.search(r"\bJoin (Inner|LeftOuter)", line)]
+    assert len(joins) >= 8 and all("strategy=merge" in line for line in joins), joins
+
+
 def test_sharding(docs, none):
     got = sharding.shards_of(docs, 8).collect()
     rows = docs.collect()

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 WHITESPACE = " \t\n\x0b\x0c\r"
 #: A word: a run of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Up to so many links Spark may choose a broadcast join; how many rows a file of 10 MB holds can't be told.
+BROADCAST_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,13 +96,16 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     Alternating large-star and small-star steps. Each step needs only a minimum per node, which is
     combined before the shuffle, and a join whose hot side Spark can split; neighbour lists are never
-    gathered. Each round is written out, so its cost doesn't depend on the rounds before.
+    gathered. Each round is written out, so its cost doesn't depend on the rounds before. Joins of more
+    than BROADCAST_ROWS links are merge joins, with the minima written out.
     """
-    spark = edges.sparkSession
+
+    def with_least(pairs: DataFrame, least: DataFrame) -> DataFrame:
+        return pairs.join(durable(least).hint("merge") if mark[0] > BROADCAST_ROWS else least, "u")
 
     def star(both: DataFrame, keep: Column) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        return both.filter(keep).join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        return with_least(both.filter(keep), least).select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
 
     def tidy(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -114,7 +119,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         # small star: every node's smaller neighbours, and itself, go to the least of them
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
+        small = with_least(down, least).select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b")
         now = durable(tidy(small.union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))))
         before, mark = mark, measure()
         if mark == before:
