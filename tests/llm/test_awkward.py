@@ -243,6 +243,93 @@ def test_tokens_equal_the_tokenizers_on_short_random_texts():
             assert got.tolist() == want.ids, t
 
 
+def test_coding_looks_up_each_word_once_however_often_it_stands(monkeypatch):
+    words = packing.WordTokenizer(packing.tokenizer_path())
+    looked_up, numbered = [], words._numbered
+    monkeypatch.setattr(words, "_numbered", lambda some: (looked_up.extend(some), numbered(some))[1])
+    rng = random.Random(3)
+    some = [" ".join(rng.choices(["one", "Two.", "three,", "çà", "a1", "(b)"], k=200)) for _ in range(100)]
+    got = words.encode_all(["", *some, "", "new words!"])
+    assert len(looked_up) < 100  # of 20,000
+    whole = Tokenizer.from_file(packing.tokenizer_path())
+    assert [ids.tolist() for ids, _ in got] == [whole.encode(t, add_special_tokens=False).ids for t in ["", *some, "", "new words!"]]
+    for t, (ids, ends) in zip(some, got[1:]):
+        parts = t.split("Two.")
+        want = [len(whole.encode("Two.".join(parts[:i]) + "Two.", add_special_tokens=False).ids) for i in range(1, len(parts))]
+        assert ends.tolist() == want
+
+
+def test_a_worker_learns_a_word_once_and_forgets_the_rare_ones(tmp_path):
+    path = tmp_path / "tokenizer.json"
+    path.write_bytes(open(packing.tokenizer_path(), "rb").read())
+    words = packing.worker_tokenizer(str(path))
+    learned, learn = [], words._learn
+    words._learn = lambda fresh: (learned.extend(fresh), learn(fresh))[1]
+    words.kept = 30
+    whole = Tokenizer.from_file(str(path))
+    often = [f"{w}{m}" for w in ("one", "çà", "a1", "Σας") for m in ("", ".", "!?")]
+    for k in range(40):
+        some = [" ".join(often), f"rare{chr(97 + k % 26)}{k}x. one. x{'y' * k}", "one."]
+        got = packing.worker_tokenizer(str(path)).encode_all(some)
+        for t, (ids, ends) in zip(some, got):
+            want = [whole.encode(w, add_special_tokens=False).ids for w in t.split(" ")]
+            assert ids.tolist() == sum(want, [])
+            assert ends.tolist() == [sum(map(len, want[: i + 1])) for i, w in enumerate(t.split(" ")) if w[-1] in ".!?"]
+        assert len(words.number) < 50
+    assert learned.count("one.") == 1 and len(learned) > 80
+    path.write_text(path.read_text() + "\n")
+    assert packing.worker_tokenizer(str(path)) is not words
+
+
+def _plain_cost(places, penalties, window):
+    best = [0.0]
+    for j in range(1, len(places)):
+        best.append(penalties[j] + min(best[i] + window - places[j] + places[i] for i in range(j) if places[j] - places[i] <= window))
+    return best[-1]
+
+
+def test_cuts_cost_no_more_than_a_plain_search_finds():
+    rng = random.Random(5)
+    by_runs = []
+    for n, step, window, most in [(2000, 30, 4096, 48), (2000, 96, 4096, 48), (300, 90, 100, 48), (300, 9, 12, 5), (300, 9, 12, 40), (300, 5, 5, 3), (1, 1, 9, 0)]:
+        places = [0]
+        while len(places) < n:
+            places.append(places[-1] + rng.randint(1, step))
+        penalties = [0, *rng.choices([0, most // 12, most], k=n - 1)]
+        by_runs.append(packing._cuts_by_runs(np.array(places), np.array(penalties), window) is not None)
+        cuts = packing.best_cuts(places, penalties, window)
+        ends = [0, *[places[c] for c in cuts]]
+        assert ends[-1] == places[-1] and all(0 < b - a <= window for a, b in zip(ends, ends[1:]))
+        assert sum(window - b + a for a, b in zip(ends, ends[1:])) + sum(penalties[c] for c in cuts) == _plain_cost(places, penalties, window)
+        back = packing._queued_cuts(places, penalties, window)
+        want, j = [], n - 1
+        while j:
+            want, j = [j, *want], back[j]
+        assert cuts == want
+    assert by_runs[0] and not all(by_runs)
+
+
+def test_places_of_cuts_equal_a_plain_walk():
+    rng = random.Random(6)
+    for _ in range(200):
+        docs = []
+        for k in range(rng.randint(1, 6)):
+            n = rng.choice([1, 2, 50, 96, 97, 400])
+            first = rng.randrange(n) if k == 0 else 0
+            docs.append((k, np.zeros(n, np.uint32), first, np.array(sorted(rng.sample(range(n + 1), rng.randint(0, min(n, 5)))), np.int64)))
+        places, penalties, base = [0], [0], 0
+        for _, ids, first, ends in docs:
+            for p in [*(e for e in ends.tolist() if first < e < len(ids)), len(ids)]:
+                while base + p - first - places[-1] > packing.HARD_STEP:
+                    places.append(places[-1] + packing.HARD_STEP)
+                    penalties.append(packing.HARD_PENALTY)
+                places.append(base + p - first)
+                penalties.append(packing.SENTENCE_PENALTY if p < len(ids) else 0)
+            base += len(ids) - first
+        got = packing._places(docs)
+        assert (got[0].tolist(), got[1].tolist()) == (places, penalties)
+
+
 def _plain_probability(forest, row):
     """One row walked down one tree after the other."""
     margin = forest.base
