@@ -243,6 +243,12 @@ def test_tokens_equal_the_tokenizers_on_short_random_texts():
             assert got.tolist() == want.ids, t
 
 
+def test_special_tokens_are_those_in_lower_case():
+    whole, words = Tokenizer.from_file(packing.tokenizer_path()), packing.WordTokenizer(packing.tokenizer_path())
+    for t in ["<|ENDOFTEXT|> X", "A <|EndOfText|>.", "é<|ENDOFTEXT|>", "<|STARTOFTEXT|>", "<|endoftext|> X", "a<|startoftext|>B. C"]:
+        assert words.encode(t)[0].tolist() == whole.encode(t, add_special_tokens=False).ids, t
+
+
 def test_coding_looks_up_each_word_once_however_often_it_stands(monkeypatch):
     words = packing.WordTokenizer(packing.tokenizer_path())
     looked_up, numbered = [], words._numbered

@@ -47,6 +47,7 @@ _STOPS = frozenset(".!?…。！？")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 _TOGETHER = 100
 _BEYOND = re.compile("[^\x00-\u02ff]")
+_SPECIAL = "<|"  # begins the tokenizer's special tokens, which it looks for before it lowers case
 
 
 class WordTokenizer:
@@ -147,7 +148,7 @@ class WordTokenizer:
         if len(self.number) > self.kept:
             self._forget()
         # below U+0300 nothing combines, so lower case can come before composition
-        plain = [(t.lower() if t.isascii() or not _BEYOND.search(t) else t).replace("\n", " ") for t in texts]
+        plain = [(t.lower() if _SPECIAL not in t and (t.isascii() or not _BEYOND.search(t)) else t).replace("\n", " ") for t in texts]
         lists = pc.split_pattern(pa.array(plain, pa.large_string()), " ")
         coded = lists.values.dictionary_encode()
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
