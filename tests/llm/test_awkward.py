@@ -265,26 +265,21 @@ def test_coding_looks_up_each_word_once_however_often_it_stands(monkeypatch):
         assert ends.tolist() == want
 
 
-def test_a_worker_learns_a_word_once_and_forgets_the_rare_ones(tmp_path):
-    path = tmp_path / "tokenizer.json"
-    path.write_bytes(open(packing.tokenizer_path(), "rb").read())
-    words = packing.worker_tokenizer(str(path))
+def test_a_full_memory_forgets_the_rare_words_only():
+    words = packing.WordTokenizer(packing.tokenizer_path(), kept=30)
     learned, learn = [], words._learn
     words._learn = lambda fresh: (learned.extend(fresh), learn(fresh))[1]
-    words.kept = 30
-    whole = Tokenizer.from_file(str(path))
+    whole = Tokenizer.from_file(packing.tokenizer_path())
     often = [f"{w}{m}" for w in ("one", "çà", "a1", "Σας") for m in ("", ".", "!?")]
     for k in range(40):
         some = [" ".join(often), f"rare{chr(97 + k % 26)}{k}x. one. x{'y' * k}", "one."]
-        got = packing.worker_tokenizer(str(path)).encode_all(some)
+        got = words.encode_all(some)
         for t, (ids, ends) in zip(some, got):
             want = [whole.encode(w, add_special_tokens=False).ids for w in t.split(" ")]
             assert ids.tolist() == sum(want, [])
             assert ends.tolist() == [sum(map(len, want[: i + 1])) for i, w in enumerate(t.split(" ")) if w[-1] in ".!?"]
         assert len(words.number) < 50
     assert learned.count("one.") == 1 and len(learned) > 80
-    path.write_text(path.read_text() + "\n")
-    assert packing.worker_tokenizer(str(path)) is not words
 
 
 def _plain_cost(places, penalties, window):

@@ -12,7 +12,8 @@ of a partition can be short. sequence_id holds the partition and the window's nu
 
 Words are tokenised once and remembered: white space always ends a token, so a text's ids are its
 words' ids one after another. Once the memory holds more than WORDS_KEPT words, those that were met in only
-one stretch of text are forgotten. A Python worker's later tasks use its memory as well.
+one stretch of text are forgotten. It ends with its task: kept in the worker, it would add to what a later
+stage's executors hold.
 
 Defined results: a null or empty text is only the end token; a null doc_id stays null and every other one
 is kept to the last digit; a text longer than a window is cut like any other; repeated rows are packed
@@ -26,7 +27,6 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Sequence
-from functools import lru_cache
 from itertools import chain, compress, repeat
 from operator import not_
 
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-WINDOW, END_ID, BLOCK, WORDS_KEPT, TEXT_AT_ONCE = 4096, 2, 1 << 20, 800_000, 1 << 22
+WINDOW, END_ID, BLOCK, WORDS_KEPT, TEXT_AT_ONCE = 4096, 2, 1 << 20, 800_000, 1 << 21
 SENTENCE_PENALTY, HARD_PENALTY, HARD_STEP = 4, 48, 96
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _CLOSING = "\"')]}»”’"
@@ -59,8 +59,9 @@ class WordTokenizer:
 
         tokenizer = Tokenizer.from_file(path)
         self.encode_batch, self.kept = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch), kept
-        self.closes = np.zeros(1 + max(tokenizer.get_vocab().values()), bool)
-        self.closes[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        vocabulary = tokenizer.get_vocab()
+        self.closes = np.zeros(1 + max(vocabulary.values()), bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self):
@@ -171,17 +172,6 @@ class WordTokenizer:
         return self.encode_all([text])[0]
 
 
-@lru_cache(maxsize=1)
-def _remembering(path: str, changed: int, size: int) -> WordTokenizer:
-    return WordTokenizer(path)
-
-
-def worker_tokenizer(path: str) -> WordTokenizer:
-    """This process's tokenizer of a file as it is now; it keeps its memory of words from task to task."""
-    file = os.stat(path)
-    return _remembering(path, file.st_mtime_ns, file.st_size)
-
-
 def _encoded(tokenizer: WordTokenizer, batch: pa.RecordBatch):
     """(doc_id, ids, sentence ends) of a batch's rows, in order, learning TEXT_AT_ONCE characters at a time."""
     some, chars = [], 0
@@ -190,7 +180,7 @@ def _encoded(tokenizer: WordTokenizer, batch: pa.RecordBatch):
         coded = iter(tokenizer.encode_all([t for _, t in some if t]))
         return [(i, *(next(coded) if t else (np.zeros(0, np.uint32), np.zeros(0, np.int64)))) for i, t in some]
 
-    for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+    for doc_id, text in zip(batch.column("doc_id").to_pylist(), (text.as_py() for text in batch.column("text"))):
         some.append((doc_id, text))
         chars += len(text or "")
         if chars >= TEXT_AT_ONCE:
@@ -297,7 +287,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int
     """Pieces of all documents: which ids of which document lie where in which sequence."""
 
     def run(batches):
-        tokenizer, number = worker_tokenizer(tokenizer_path), TaskContext.get().partitionId() << 40
+        tokenizer, number = WordTokenizer(tokenizer_path), TaskContext.get().partitionId() << 40
         held, tokens = [], 0
 
         def frame(out):
